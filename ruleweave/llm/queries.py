@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import sp_codec, token_counts
+from ruleweave.llm import decontam, sharding, sp_codec, token_counts
 from ruleweave.llm.common import table
 
 #: The vocabulary of operators 1 and 8; a file outside this repository.
@@ -18,12 +18,22 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), n_shards=24)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), MODEL)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_decontamination": op3_decontamination,
+    "op6_sharding": op6_sharding,
     "op8_token_counts": op8_token_counts,
 }
 
