@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import chat, decontam, sharding, simhash, sp_codec, token_counts
+from ruleweave.llm import bwt_dedup, chat, decontam, sharding, simhash, sp_codec, token_counts
 from ruleweave.llm.common import table
 
 #: The vocabulary of operators 1 and 8; a file outside this repository.
@@ -22,6 +22,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.repeated_bytes(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
@@ -44,6 +48,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
