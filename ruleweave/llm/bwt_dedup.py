@@ -457,3 +457,23 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     size = F.octet_length("text").cast("bigint")
     nameless = rows.where("id is null").select("id", size.alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * keep)
     return done.unionByName(nameless).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with the text that remains; characters of which a byte went are dropped whole.
+
+    Every row stays, if with an empty text. Rows that repeat an id keep their own
+    texts and take the other columns of one of them.
+    """
+    kept = repeated_bytes(docs, length, id_col, text_col, keep=True).select(F.col(id_col).alias("__id"), "kept")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode(errors="ignore") for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__id", "__text"])
+
+    texts = kept.where("__id is not null").mapInArrow(decode, "__id bigint, __text string")
+    named = docs.where(F.col(id_col).isNotNull())
+    others = named.drop(text_col).dropDuplicates([id_col])
+    joined = texts.join(others, texts["__id"] == others[id_col]).withColumnRenamed("__text", text_col)
+    return joined.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

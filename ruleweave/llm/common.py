@@ -14,16 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that the cluster names and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
 
-    The folder is set here only where the session names none, as in tests on one
-    machine; on a cluster it is shared, so a lost executor loses nothing.
+    One is made here only where the session names none, as in tests on one machine.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="ruleweave-checkpoint-")
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ruleweave-checkpoint-"))
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back; a lost executor loses none of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

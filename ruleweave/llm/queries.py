@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import bwt_dedup, chat, decontam, sharding, simhash, sp_codec, token_counts
+from ruleweave.llm import bwt_dedup, chat, decontam, langid, sharding, simhash, sp_codec, token_counts
 from ruleweave.llm.common import table
 
 #: The vocabulary of operators 1 and 8; a file outside this repository.
@@ -18,6 +18,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -47,6 +52,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_chat_formatting": op5_chat_formatting,
