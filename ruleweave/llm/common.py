@@ -7,6 +7,7 @@ import tempfile
 import types
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def deal_out(placed: DataFrame, by: str, item: str, limit: int) -> DataFrame:
+    """placed, dealt to partitions and sorted by a new column key, with a column side.
+
+    Rows of one value of `by` share a key (side 0). Where a value has more than
+    `limit` rows, they are cut into blocks by the hash of `item`, and each pair of
+    blocks is a key of its own: rows of side 1 are to be compared with rows of
+    side 2 there, and rows of side 0 with each other, so that all pairs meet once
+    and no task holds more than 2 * limit rows or so.
+    """
+    crowded = placed.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    crowded = cut(crowded.select(by, F.ceil(F.col("n") / limit).cast("int").alias("blocks")))
+    plain, block = placed, F.lit(0).cast("bigint")
+    if crowded.count():
+        hot = placed.join(crowded, by).withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+        hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = F.least("own", "other").cast("bigint") * 1_000_000 + F.greatest("own", "other") + 1
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
+        hot = hot.select(*placed.columns, pair.alias("block"), side.alias("side"))
+        plain = placed.join(crowded.select(by), by, "left_anti").select(*placed.columns, block.alias("block"), F.lit(0).alias("side"))
+        dealt = plain.unionByName(hot)
+    else:
+        dealt = plain.select("*", block.alias("block"), F.lit(0).alias("side"))
+    dealt = dealt.withColumn("key", F.xxhash64(by, "block")).drop("block")
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
 def worker_store() -> dict:
     """A dictionary that lives as long as the Python worker, whatever task runs in it."""
     module = sys.modules.setdefault("_ruleweave_worker", types.ModuleType("_ruleweave_worker"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import bwt_dedup, chat, decontam, langid, sharding, simhash, sp_codec, token_counts
+from ruleweave.llm import bwt_dedup, chat, decontam, langid, lattice, sharding, simhash, sp_codec, token_counts
 from ruleweave.llm.common import table
 
 #: The vocabulary of operators 1 and 8; a file outside this repository.
@@ -50,6 +50,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 #: DuckDB SQL of those that SQL can express.
