@@ -73,10 +73,15 @@ def _taker(m: int) -> Callable[[Column], Column]:
     return lambda at: F.struct(at.alias("at"), F.lit(m).alias("m"), F.concat_ws(" ", *[F.get(F.col("w"), at + k) for k in range(m)]).alias("window"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document row: row (a number of this run), id, n_words, spans array<struct<at,m>> sorted, item_ids."""
-    windows = item_windows(items, n, item_id_col, item_text_col).persist()
-    lengths = {r["m"]: r["n"] for r in windows.groupBy("m").agg(F.count("*").alias("n")).collect()}  # n rows at most
+def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Where the windows (distinct strings `window` of m words, and any further columns) stand in the documents.
+
+    Rows: row (a number of a document row in this run), id, n_words, at (first
+    word), m and the further columns of the window; these are null in the rows
+    that keep documents, or places that only looked like one, without a window.
+    """
+    windows = windows.persist()
+    lengths = {r["m"]: r["n"] for r in windows.groupBy("m").agg(F.count("*").alias("n")).collect()}  # a row per length
     total = sum(lengths.values())
     found = F.array().cast("array<struct<at:int,m:int,window:string>>")
     bits = 1 << 12
@@ -89,10 +94,15 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc
         starts = F.when(F.size("w") >= m, F.sequence(F.lit(0), F.size("w") - m))
         rows = rows.withColumn(f"found{m}", F.filter(starts, _tester(m, bits, bitmap))).withColumn(f"found{m}", F.coalesce(F.transform(f"found{m}", _taker(m)), found))
     rows = rows.select("row", "id", F.size("w").alias("n_words"), F.explode_outer(F.flatten(F.array(found, *[F.col(f"found{m}") for m in lengths]))).alias("f"))
-    keyed = windows.select(F.col("window").alias("window"), F.col("m").alias("window_m"), "item_ids")
+    keyed = windows.withColumnsRenamed({"window": "key_window", "m": "key_m"})
     keyed = F.broadcast(keyed) if total <= BROADCAST_WINDOWS else keyed.hint("merge")
     rows = rows.select("row", "id", "n_words", F.col("f.at").alias("at"), F.col("f.m").alias("m"), F.col("f.window").alias("window"))
-    hits = rows.join(keyed, (rows["window"] == keyed["window"]) & (rows["m"] == keyed["window_m"]), "left")
+    return rows.join(keyed, (F.col("window") == F.col("key_window")) & (F.col("m") == F.col("key_m")), "left").drop("window", "key_window", "key_m")
+
+
+def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document row: row (a number of this run), id, n_words, spans array<struct<at,m>> sorted, item_ids."""
+    hits = occurrences(docs, item_windows(items, n, item_id_col, item_text_col), id_col, text_col)
     span = F.when(F.col("item_ids").isNotNull(), F.struct("at", "m"))
     return hits.groupBy("row", "id", "n_words").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
 
