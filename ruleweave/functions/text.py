@@ -47,7 +47,7 @@ def key_values(record: Column, fields: list[str]) -> Column:
     """The listed fields of a record with one `key=value` a line, split at the first `=`; missing ones are empty."""
     lines = F.filter(F.split(record, "\r?\n"), lambda line: F.instr(line, "=") > 0)
     pairs = F.transform(lines, lambda line: F.struct(F.trim(F.substring_index(line, "=", 1)).alias("k"), F.trim(F.substr(line, F.instr(line, "=") + 1)).alias("v")))
-    value = lambda f: F.coalesce(F.element_at(F.filter(pairs, lambda p: p["k"] == f), -1)["v"], F.lit(""))
+    value = lambda f: F.coalesce(F.try_element_at(F.filter(pairs, lambda p: p["k"] == f), F.lit(-1))["v"], F.lit(""))
     return F.struct(*[value(f).alias(f) for f in fields])
 
 
