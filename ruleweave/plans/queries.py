@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.functions import bits as B
+from ruleweave.functions import detect
 from ruleweave.functions import text as T
 from ruleweave.operators import evaluate, inspect, logs, metrics
 from ruleweave.operators.encode import Encoder, quantile_thresholds
@@ -276,6 +277,18 @@ def argmax_ties(spark, d):
     return evaluate.argmax(rows).join(evaluate.argmax(rows, last_wins=True).withColumnRenamed("prediction", "last"), "row_id").join(by_rank, "row_id")
 
 
+def detection_rules(spark, d):
+    """First rule that made-up events meet, by type and user of the driver's events."""
+    kind, user = F.col("event_type"), F.col("user_id") % 3
+    fields = F.create_map(
+        F.lit("Image"), F.when(kind == "click", "C:\\w\\powershell.exe").when(kind == "view", "c:\\Temp\\Tool.EXE").otherwise("net.exe"),
+        F.lit("ParentImage"), F.when(user == 0, "c:\\o\\EXCEL.EXE").otherwise("explorer.exe"),
+        F.lit("CommandLine"), F.when(user == 1, "net USER x /add -Enc z").otherwise(""),
+    )
+    found = _t(spark, d, "events").select(detect.first_match(fields, F.lit(1), detect.RULES, F.lit("none")).alias("rule"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def train_and_predict(spark, d):
     """Train a model on orders' bits and predict them; SQL can't express it."""
     samples = _samples(spark, d)
@@ -284,7 +297,7 @@ def train_and_predict(spark, d):
     return model.transform(samples).select("row_id", "label", "prediction")
 
 
-_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, train_and_predict]
+_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, detection_rules, train_and_predict]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ENTRIES}
 
 
@@ -377,4 +390,5 @@ ORACLE: dict[str, str] = {
     "absorbed_fractions": "with s as (select cast(least(l_quantity, 40.0) as integer) as state from lineitem) select round(avg(cast(state = 40 as integer)), 9) as included, round(avg(cast(state = 0 as integer)), 9) as excluded from s",
     "clause_polarity": f"with w as (select * from (values {_values(SHARED_WEIGHTS)}) as x(output, clause, weight)), r as (select clause, count(*) as n from (values {_values(RULES)}) as y(output, clause, feature, negated) where output = 0 group by clause) select w.clause, bool_or(weight > 0) and bool_or(weight < 0) as mixed, any_value(n) as n from w join r on w.clause = r.clause group by w.clause",
     "argmax_ties": "with r as (select a as row_id, o as output, (a * (o + 1)) % 3 as score from (select unnest(range(12)) as a), (select unnest(range(4)) as o)), x as (select row_id, output, row_number() over (partition by row_id order by score desc, output) as k, row_number() over (partition by row_id order by score desc, output desc) as l from r) select row_id, cast(max(output) filter (k = 1) as integer) as prediction, cast(max(output) filter (l = 1) as integer) as last, cast(max(output) filter (k = 1) as integer) as ranked from x group by row_id",
+    "detection_rules": "select case when event_type = 'click' and user_id % 3 = 0 then 'office_to_script' when event_type = 'click' and user_id % 3 = 1 then 'encoded_ps' when event_type = 'view' then 'staged_exec' when event_type not in ('click', 'view') and user_id % 3 = 1 then 'create_account' else 'none' end as rule, count(*) as n from events group by 1",
 }
