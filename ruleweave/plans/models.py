@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.operators import kernels
 from ruleweave.operators.kernels import Config, EncoderUnit, RegressionUnit, SharedUnit, VotingUnit, merge
+from ruleweave.plans.ship import ship
 
 BROADCAST_BYTES = 256 << 20
 
@@ -143,6 +144,7 @@ class RuleModel:
 
     def fit(self, df: DataFrame, label: str | None = "label", bits: str = "bits", key: str = "row_id", epochs: int = 1, strategy: str = "exact", replicas: int = 4) -> "RuleModel":
         """Train on samples; `exact` or `data_parallel` (see the module)."""
+        ship(df.sparkSession)
         rows = packed(df, bits, label, key)
         if strategy == "data_parallel":
             if not self.can_data_parallel or self.config.type_iii is not None:
@@ -221,8 +223,8 @@ class RuleModel:
         state = pickle.dumps(self)
         if len(state) > BROADCAST_BYTES:
             raise ValueError("the model is too large to broadcast; score its tables with ruleweave.operators.evaluate")
-        blob, spark = df.sparkSession.sparkContext.broadcast(state), df.sparkSession
-        del spark
+        ship(df.sparkSession)
+        blob = df.sparkSession.sparkContext.broadcast(state)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
