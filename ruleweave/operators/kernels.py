@@ -85,16 +85,28 @@ class Bank:
         self.refresh(slice(None))
 
     def refresh(self, rows) -> None:
+        """Take up changed counters of rows: which literals are included, one byte each and eight to a byte."""
+        now = self.ta[rows] >= self.config.half
         if isinstance(rows, slice):
-            self.included = self.ta >= self.config.half
+            self.included = now
+            self.words = np.zeros((len(now), -(-now.shape[1] // 64)), np.uint64)
         else:
-            self.included[rows] = self.ta[rows] >= self.config.half
+            self.included[rows] = now
+        self.words[rows] = self._words(now)
+
+    def _words(self, flags: np.ndarray) -> np.ndarray:
+        """Flags along the last axis as words of 64 bits."""
+        packed = np.packbits(flags, axis=-1)
+        short = -packed.shape[-1] % 8
+        if short:
+            packed = np.concatenate([packed, np.zeros((*packed.shape[:-1], short), np.uint8)], axis=-1)
+        return np.ascontiguousarray(packed).view(np.uint64)
 
     def fires(self, lit: np.ndarray, active: np.ndarray | None = None, training: bool = True) -> np.ndarray:
         """Clauses of which no included, active literal is absent; those that include nothing fire in training only."""
         absent = ~lit if active is None else ~lit & active
-        fired = ~self.included[:, np.nonzero(absent)[0]].any(axis=1)
-        return fired if training else fired & self.included.any(axis=1)
+        fired = ~(self.words & self._words(absent)).any(axis=1)
+        return fired if training else fired & self.words.any(axis=1)
 
     def fires_by_patch(self, lit: np.ndarray, active: np.ndarray | None = None, training: bool = True) -> np.ndarray:
         """(clause, patch)."""
@@ -104,23 +116,24 @@ class Bank:
 
     def type_i(self, rows: np.ndarray, fired: np.ndarray, lit: np.ndarray, active: np.ndarray, inv: np.ndarray, keep: np.ndarray) -> np.ndarray:
         """Recognise: rows that fired and may include more strengthen what is present; all others weaken. Returns the former."""
-        room = self.config.max_included
+        room, top = self.config.max_included, self.config.top
         grows = fired if room is None else fired & (self.included[rows].sum(axis=1) < room)
-        lit = np.broadcast_to(lit, (len(rows), self.ta.shape[1]))
         present = lit & active & (True if self.config.boost else keep)
-        weaker = np.where(grows[:, None], ~lit & active & inv, active & inv)
-        ta = self.ta[rows].astype(np.int16)
-        up = grows[:, None] & present
-        down = weaker & (ta < self.config.top) & (ta > 0)
-        self.ta[rows] = np.where(up, np.minimum(ta + 1, self.config.top), ta - down).astype(np.uint8)
+        ta, one = self.ta[rows], grows[:, None]
+        below = ta < top
+        down = np.where(one, ~lit & active & inv, active & inv) & below & (ta > 0)
+        up = one & present & below
+        ta -= down.view(np.uint8)
+        ta += up.view(np.uint8)
+        self.ta[rows] = ta
         self.refresh(rows)
         return grows
 
     def type_ii(self, rows: np.ndarray, lit: np.ndarray, active: np.ndarray) -> None:
         """Reject: clauses that fired move absent, excluded literals towards inclusion."""
-        lit = np.broadcast_to(lit, (len(rows), self.ta.shape[1]))
         ta = self.ta[rows]
-        self.ta[rows] = ta + (~lit & active & (ta > 0) & (ta < self.config.half)).astype(np.uint8)
+        ta += (~lit & active & (ta > 0) & (ta < self.config.half)).view(np.uint8)
+        self.ta[rows] = ta
         self.refresh(rows)
 
     def type_iii(self, rows: np.ndarray, fired: np.ndarray, target: bool, lit: np.ndarray, active: np.ndarray, p: float, generator: np.random.Generator) -> None:
