@@ -2,13 +2,17 @@
 
 A test is (field, kind, values): some value must be equal (`is`), contained
 (`has`), a prefix (`begins`) or a suffix (`ends`); `not ...` is the negation;
-`longer` compares bytes. Fields come from an event's string map: Image and
-ParentImage as lower-case base names, Path (the whole image path) and CommandLine
-in lower case, others as they stand. A missing field is empty.
-
-The rules of process creation (1) and network connection (3) cover the named
-predicates below; kinds of event that always count are in ALWAYS. Rules are
-expressions, so Spark compiles them into the scan; no row leaves the JVM.
+`longer` compares bytes, `label longer` those of a part between dots; `bits` asks
+for some bit of a mask and `least` for a number, both of hexadecimal text that
+reads as 0 if it isn't; `any` has tests for values, of which one must hold.
+Fields come from an event's string map: images as lower-case base names, Path
+(the whole image path) and those in LOWER in lower case, others as they stand. A
+missing field is empty, but Signed is `false`.
+
+All kinds of event are here but file creation (11) and registry values (12, 13);
+of process creation (1), the predicates named below. Kinds that always count are
+in ALWAYS. Rules are expressions, so Spark compiles them into the scan; no row
+leaves the JVM.
 """
 
 from __future__ import annotations
@@ -36,6 +40,20 @@ STAGED_PATHS = ["\\temp\\", "\\appdata\\local\\temp", "\\users\\public\\", "\\pr
 ENCODED = ["-encodedcommand", " -enc ", " -ec ", "-nop", "-bypass", "hidden", "iex(", "iex (", "invoke-expression", "downloadstring", "net.webclient", "bitstransfer", "start-bitstransfer", "webclient", "frombase64string"]
 PRIVATE = ["10.", "172.16.", "172.17.", "172.18.", "172.19.", "172.2", "172.3", "192.168."]
 
+UNSIGNED = ("", "any", [("Signed", "is", ["false"]), ("SignatureStatus", "not is", ["Valid"])])
+TOOLS = "msmpeng.exe msseces.exe mbam.exe mbamtray.exe avgnt.exe avp.exe avguard.exe avgwdsvc.exe sysmon.exe sysmon64.exe winlogbeat.exe elastic-agent.exe wireshark.exe processhacker.exe procmon.exe procmon64.exe autoruns.exe autorunsc.exe regedit.exe fltmc.exe bds-vision.exe eguiproxy.exe"
+DRIVERS = "dbutil_2_3 mhyprot2 gdrv.sys asmmap rtcore64 zamguard ene_io physmem wfp_test procexp"
+LIBRARIES = "mimilib kiwi.dll sekurlsa wceaux.dll reflective payload.dll beacon.dll inject.dll cobaltstrike"
+DRIVER_PATHS = ["\\temp\\", "\\appdata\\", "\\users\\public\\", "\\programdata\\", "\\downloads\\"]
+SENSITIVE = "lsass.exe winlogon.exe csrss.exe wininit.exe services.exe svchost.exe"
+SERVERS = "dllhost.exe mmc.exe excel.exe outlook.exe svchost.exe"
+INSTALLED = ["\\windows\\system32\\", "\\windows\\syswow64\\", "\\program files\\"]
+TARGETS = "winlogon.exe csrss.exe wininit.exe services.exe explorer.exe svchost.exe spoolsv.exe taskhost.exe taskhostw.exe vaultcvc.exe msmpeng.exe msseces.exe"
+PIPES = "postex_ msse- status_ msagent_ ntsvcs- 46a9e56 583da945 wkssvc- isapi_ dce_pipe gruntstager interprocess_ atctl gecko_channel"
+RESOLVERS = SHELLS + " certutil.exe bitsadmin.exe wmic.exe msbuild.exe installutil.exe"
+CLEANED = [".exe", ".dll", ".dmp", ".evtx", ".ps1", ".bat"]
+LOWER = ("CommandLine", "TargetFilename", "ImageLoaded", "PipeName", "QueryName")
+
 #: (event kind, name, tests).
 RULES = [
     (1, "office_to_script", [("ParentImage", "is", OFFICE.split()), ("Image", "is", DROPPED.split())]),
@@ -54,34 +72,74 @@ RULES = [
     (3, "rdp_nonstandard", [("Initiated", "is", ["true"]), ("DestinationPort", "is", ["3389"]), ("Image", "not is", ["mstsc.exe", "msrdcw.exe"])]),
     (3, "smb_lateral", [("Initiated", "is", ["true"]), ("DestinationPort", "is", ["445"]), ("Image", "is", [*HOSTS.split(), "python.exe", "wmic.exe"])]),
     (3, "winrm_lateral", [("Initiated", "is", ["true"]), ("DestinationPort", "is", ["5985", "5986"]), ("Image", "not is", ["wsmprovhost.exe", "winrm.cmd"])]),
+    (5, "tool_ended", [("Image", "is", TOOLS.split())]),
+    (6, "vulnerable_driver", [("ImageLoaded", "has", DRIVERS.split())]),
+    (6, "unsigned_driver", [UNSIGNED, ("ImageLoaded", "has", DRIVER_PATHS)]),
+    (7, "known_library", [("ImageLoaded", "has", LIBRARIES.split())]),
+    (7, "staged_library", [("ImageLoaded", "ends", [".dll", ".ocx"]), ("ImageLoaded", "has", STAGED_PATHS)]),
+    (7, "unsigned_in_sensitive", [UNSIGNED, ("Image", "is", SENSITIVE.split())]),
+    (7, "server_library", [("Image", "is", SERVERS.split()), UNSIGNED, ("ImageLoaded", "not has", INSTALLED)]),
+    (7, "registered_library", [("Image", "is", ["regsvr32.exe"]), ("Signed", "is", ["false"])]),
+    (10, "credential_access", [("TargetImage", "is", ["lsass.exe"])]),
+    (10, "sensitive_access", [("TargetImage", "is", TARGETS.split()), ("", "any", [("GrantedAccess", "bits", [0x70]), ("GrantedAccess", "least", [0x1F0000])])]),
+    (10, "handle_copy", [("TargetImage", "is", ["winlogon.exe", "services.exe"]), ("GrantedAccess", "bits", [0x40])]),
+    *[(k, "known_pipe", [("PipeName", "has", PIPES.split())]) for k in (17, 18)],
+    *[(k, "scripted_pipe", [("Image", "is", [*SHELLS.split(), "msbuild.exe"])]) for k in (17, 18)],
+    (22, "scripted_query", [("Image", "is", RESOLVERS.split())]),
+    (22, "long_query", [("QueryName", "longer", [60])]),
+    (22, "long_label", [("QueryName", "label longer", [40])]),
+    *[(k, "log_delete", [("", "any", [("TargetFilename", "has", ["\\winevt\\", "\\windows\\logs\\"]), ("TargetFilename", "ends", [".evtx"])])]) for k in (23, 26)],
+    *[(k, "prefetch_delete", [("TargetFilename", "has", ["\\prefetch\\"]), ("TargetFilename", "ends", [".pf"])]) for k in (23, 26)],
+    *[(k, "scripted_delete", [("Image", "is", "powershell.exe cmd.exe wscript.exe cscript.exe".split()), ("TargetFilename", "ends", CLEANED)]) for k in (23, 26)],
     (15, "alternate_stream", [("TargetFilename", "not ends", [":zone.identifier"])]),
 ]
 
 
 def field(fields: Column, name: str) -> Column:
     """A field of an event's map<string,string>, as the rules read it."""
-    raw = lambda n: F.coalesce(F.try_element_at(fields, F.lit(n)), F.lit(""))
-    if name in ("Image", "ParentImage"):
+    raw = lambda n, default="": F.coalesce(F.try_element_at(fields, F.lit(n)), F.lit(default))
+    if name in ("Image", "ParentImage", "TargetImage"):
         return F.lower(basename(raw(name)))
     if name == "Path":
         return F.lower(raw("Image"))
-    return F.lower(raw(name)) if name in ("CommandLine", "TargetFilename") else raw(name)
+    if name == "Signed":
+        return raw(name, "false")
+    return F.lower(raw(name)) if name in LOWER else raw(name)
+
 
+def hexadecimal(text: Column) -> Column:
+    """The number of hexadecimal digits with or without 0x; 0 of anything else."""
+    digits = F.regexp_replace(text, "^(0x)+", "")
+    return F.when(digits.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(digits, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
-def test(value: Column, kind: str, values: list) -> Column:
+
+def test(fields: Column, name: str, kind: str, values: list) -> Column:
+    if kind == "any":
+        return reduce(lambda a, b: a | b, [test(fields, *t) for t in values])
     if kind.startswith("not "):
-        return ~test(value, kind[4:], values)
+        return ~test(fields, name, kind[4:], values)
+    value = field(fields, name)
     if kind == "is":
         return value.isin(*values)
     if kind == "longer":
         return F.octet_length(value) > values[0]
+    if kind == "label longer":
+        return F.exists(F.split(value, "[.]"), lambda part: F.octet_length(part) > values[0])
+    if kind == "bits":
+        return hexadecimal(value).bitwiseAND(F.lit(values[0])) != 0
+    if kind == "least":
+        return hexadecimal(value) >= values[0]
     one = {"has": F.contains, "begins": F.startswith, "ends": F.endswith}[kind]
     return reduce(lambda a, b: a | b, [one(value, F.lit(v)) for v in values])
 
 
+def meets(fields: Column, event: Column, kind: int, tests: list) -> Column:
+    return reduce(lambda a, b: a & b, [test(fields, *t) for t in tests], event == kind)
+
+
 def matches(fields: Column, event: Column, rules: list = RULES) -> Column:
     """Names of the rules that an event meets, in the order of the rules."""
-    found = [F.when((event == kind) & reduce(lambda a, b: a & b, [test(field(fields, f), k, v) for f, k, v in tests]), F.lit(name)) for kind, name, tests in rules]
+    found = [F.when(meets(fields, event, kind, tests), F.lit(name)) for kind, name, tests in rules]
     return F.array_compact(F.array(*found))
 
 
@@ -89,7 +147,7 @@ def first_match(fields: Column, event: Column, rules: list, default: Column | No
     """The name of the first rule that an event meets: rule order is priority."""
     out = F.lit(None).cast("string") if default is None else default
     for kind, name, tests in reversed(rules):
-        out = F.when((event == kind) & reduce(lambda a, b: a & b, [test(field(fields, f), k, v) for f, k, v in tests]), F.lit(name)).otherwise(out)
+        out = F.when(meets(fields, event, kind, tests), F.lit(name)).otherwise(out)
     return out
 
 

@@ -14,6 +14,20 @@ EVENTS = [
     (3, {"Image": "cmd.exe", "DestinationPort": "445"}, []),
     (15, {"TargetFilename": "a:Zone.Identifier"}, []),
     (15, {"TargetFilename": "a:hidden"}, ["alternate_stream"]),
+    (5, {"Image": "c:\\x\\ProcMon.exe"}, ["tool_ended"]),
+    (6, {"ImageLoaded": "C:\\TEMP\\x.sys"}, ["unsigned_driver"]),
+    (6, {"ImageLoaded": "C:\\TEMP\\x.sys", "Signed": "true", "SignatureStatus": "Valid"}, []),
+    (7, {"ImageLoaded": "c:\\temp\\kiwi.dll", "Image": "a\\lsass.exe"}, ["known_library", "staged_library", "unsigned_in_sensitive"]),
+    (7, {"ImageLoaded": "c:\\windows\\system32\\a.dll", "Image": "mmc.exe"}, []),
+    (10, {"TargetImage": "c:\\lsass.exe", "GrantedAccess": "zz"}, ["credential_access"]),
+    (10, {"TargetImage": "services.exe", "GrantedAccess": "0x40"}, ["sensitive_access", "handle_copy"]),
+    (10, {"TargetImage": "explorer.exe", "GrantedAccess": "0x1F0FFF"}, ["sensitive_access"]),
+    (10, {"TargetImage": "explorer.exe", "GrantedAccess": "0x1fzz"}, []),
+    (18, {"PipeName": "\\MSSE-1", "Image": "msbuild.exe"}, ["known_pipe", "scripted_pipe"]),
+    (22, {"QueryName": "a" * 41 + ".example.org"}, ["long_label"]),
+    (22, {"QueryName": "ab." * 25, "Image": "wmic.exe"}, ["scripted_query", "long_query"]),
+    (23, {"TargetFilename": "c:\\x.EVTX", "Image": "cmd.exe"}, ["log_delete", "scripted_delete"]),
+    (26, {"TargetFilename": "c:\\Prefetch\\a.pf"}, ["prefetch_delete"]),
     (99, {"Image": "C:\\Temp\\a.exe"}, []),
 ]
 
