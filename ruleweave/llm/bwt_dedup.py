@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut
+from ruleweave.llm.common import cut, frugal, tidy
 
-#: Bytes of a k-mer; strings of a run at most; bytes of a shard; text per bucket; bytes handled at once.
-K, RUN, SHARD, BUCKET_BYTES, BLOCK_BYTES = 16, 35, 1 << 19, 2 << 20, 8 << 20
+#: Bytes of a k-mer; strings of a run at most; bytes of a shard; text per bucket; bytes hashed at once, and packed at once.
+K, RUN, SHARD, BUCKET_BYTES, BLOCK_BYTES, PACK_BYTES = 16, 35, 1 << 18, 2 << 20, 2 << 20, 8 << 20
 #: Odd multipliers of the k-mer hash.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 ROWS = "bucket int, kind int, blob binary"
+ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 TEXTS, SPANS, SEEN, WANTED, PIECES = range(5)
 
 
@@ -155,17 +156,19 @@ def runs(text: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return least[start], whole, document, start - (ends - sizes)[document], strings
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts) of about BLOCK_BYTES each."""
+def _documents(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, texts) of about limit bytes each."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= BLOCK_BYTES:
-                yield np.array(ids, np.int64), texts
-                ids, texts, size = [], [], 0
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= limit:
+                    yield np.array(ids, np.int64), texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield np.array(ids, np.int64), texts
 
@@ -184,6 +187,22 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int,
         yield now, held
 
 
+def _cogrouped(run: Callable, schema: pa.Schema) -> Callable:
+    """run for one bucket of two tables."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        blobs: dict[int, list[bytes]] = {}
+        for part in (left, right):
+            for kind, blob in zip(part.column("kind").to_pylist(), part.column("blob").to_pylist()):
+                blobs.setdefault(kind, []).append(blob)
+        out = pa.Table.from_batches(list(run(0, blobs)), schema)
+        blobs.clear()
+        tidy(collect=False)
+        return out
+
+    return both
+
+
 def _columns(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*map(unpack, blobs))]
 
@@ -218,7 +237,7 @@ class Shard:
 
 def transform(code: dict[int, np.ndarray], back: dict[int, np.ndarray], steps: list[int], first: int, last: int) -> Shard:
     """Sort the rotations at places first to last and keep, in that order, the symbols that precede them."""
-    order = np.arange(first, last)
+    order = np.arange(first, last, dtype=np.int32)
     for step in steps:
         order = back[step][order]
         order = order[np.argsort(code[step][order], kind="stable")]
@@ -228,28 +247,83 @@ def transform(code: dict[int, np.ndarray], back: dict[int, np.ndarray], steps: l
 def merge(shards: list[Shard], steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(places in merged order, block of each slot): slots of one block share the whole depth."""
     sizes = [len(s.order) for s in shards]
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    owner = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8 if len(shards) < 256 else np.uint16 if len(shards) < 65_536 else np.int64)
-    before = {step: np.concatenate([s.before[step] for s in shards]) for step in set(steps)}
+    owner = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
     n = len(owner)
-    block, slot = np.zeros(n, np.int32), np.arange(n)
+    block = np.zeros(n, np.int32)
+
+    def read(columns: list[np.ndarray]) -> np.ndarray:
+        """What each slot takes from its shard, in the shard's order."""
+        if len(columns) == 1:
+            return columns[0]
+        out = np.empty(n, columns[0].dtype)
+        for k, column in enumerate(columns):
+            out[owner == k] = column
+        return out
+
     for step in steps:
-        symbol = before[step][slot]
+        symbol = read([s.before[step] for s in shards])
         moved = np.argsort(symbol, kind="stable")
-        owner, symbol, block = owner[moved], symbol[moved], block[moved]
+        symbol, block = symbol[moved], block[moved]
+        if len(shards) > 1:
+            owner = owner[moved]
         opens = np.zeros(n, bool)
-        opens[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        np.not_equal(symbol[1:], symbol[:-1], out=opens[1:])
+        opens[1:] |= block[1:] != block[:-1]
         block = np.cumsum(opens, dtype=np.int32)
-        slot = np.empty(n, np.int64)
-        slot[np.argsort(owner, kind="stable")] = np.arange(n)
-    return np.concatenate([s.order for s in shards])[slot], block
+    return read([s.order for s in shards]), block
+
 
+def may_share(fragments: list[bytes]) -> np.ndarray:
+    """Which fragments may hold a string that another holds; the others hold none.
 
-def least_documents(fragments: list[bytes], documents: np.ndarray, length: int, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    A string of 50 bytes holds its minimum and 17 bytes or more on one side of it.
+    So two fragments that share one agree in the minimum and in the K bytes before
+    it or the K after it. Fragments that hold their minimum twice, and all others of
+    that minimum, are kept unseen.
+    """
+    sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+    first = np.cumsum(sizes) - sizes
+    text = b"".join(fragments)
+    hashes = np.concatenate([kmer_hashes(text), np.zeros(K, np.uint64)])
+    places = np.arange(len(text))
+    owner = np.repeat(np.arange(len(fragments)), sizes)
+    hashes[: len(text)][places + K > (first + sizes)[owner]] = np.iinfo(np.uint64).max
+    least = np.minimum.reduceat(hashes[: len(text)], first)
+    at = np.nonzero(hashes[: len(text)] == least[owner])[0]
+    times = np.bincount(owner[at], minlength=len(fragments))
+    place = np.zeros(len(fragments), np.int64)
+    place[owner[at]] = at
+    keep = np.zeros(len(fragments), bool)
+    group = np.unique(least, return_inverse=True)[1]
+    keep |= np.isin(group, group[times > 1])
+    for begin, held in ((place - K, place - K >= first), (place + K, place + 2 * K <= first + sizes)):
+        own = np.nonzero(held)[0]
+        side = (hashes[begin[own]] * MIX[4]) ^ (least[own] * MIX[5])
+        _, which, count = np.unique(side, return_inverse=True, return_counts=True)
+        keep[own[count[which] > 1]] = True
+    return keep
+
+
+def least_documents(fragments: list[bytes], documents: np.ndarray, length: int, shard_bytes: int = SHARD, runs_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For each string of each fragment, the smallest document of any fragment that holds it.
 
-    Returns (place of each fragment's first string, value by place).
+    Returns (place of each fragment's first string, value by place). With
+    runs_only, the fragments are runs, whose strings all hold one minimum, and
+    may_share leaves out what can't matter.
     """
+    sizes = np.fromiter(map(len, fragments), np.int64, len(fragments)) + 1
+    first = np.cumsum(sizes) - sizes
+    least = np.repeat(documents, sizes)
+    kept = np.nonzero(may_share(fragments))[0] if runs_only else np.arange(len(fragments))
+    if len(kept):
+        own, found = _by_transform([fragments[i] for i in kept.tolist()], documents[kept], length, shard_bytes)
+        times = sizes[kept]
+        at = np.arange(times.sum()) - np.repeat(own - first[kept], times)
+        least[at] = found
+    return first, least
+
+
+def _by_transform(fragments: list[bytes], documents: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments)) + 1
     first = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
@@ -257,7 +331,7 @@ def least_documents(fragments: list[bytes], documents: np.ndarray, length: int,
     inside = np.ones(n, bool)
     inside[first + sizes - 1] = False
     text[inside] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
-    after, back1 = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, back1 = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[first + sizes - 1], back1[first] = first, first + sizes - 1
     for step in (4, 3, 2):
         numbered, code4 = np.unique(symbols(text, after, step), return_inverse=True)
@@ -286,8 +360,11 @@ def _find_runs(length: int, buckets: int) -> Callable:
     shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _documents(batches):
+        for ids, texts in _documents(batches, BLOCK_BYTES):
             least, whole, document, start, strings = runs(b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts)), length)
+            least *= MIX[4]  # minima are small numbers: spread them evenly
+            least ^= least >> np.uint64(31)
+            least *= MIX[5]
             bucket = (least >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(least), np.int64)
             short = ((least << (np.uint64(64) - shift)) >> np.uint64(32)).astype(np.int64) if buckets > 1 else (least >> np.uint64(32)).astype(np.int64)
             order = np.argsort(short, kind="stable")
@@ -323,7 +400,7 @@ def _match(buckets: int) -> Callable:
 
 def _pack_documents(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _documents(batches):
+        for ids, texts in _documents(batches, PACK_BYTES):
             bucket = doc_bucket(ids, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)]))
@@ -333,10 +410,8 @@ def _pack_documents(buckets: int) -> Callable:
 
 
 def _cut_out(length: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _grouped(batches):
-            if WANTED not in blobs or TEXTS not in blobs:
-                continue
+    def run(_: int, blobs: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        if WANTED in blobs and TEXTS in blobs:
             document, start, strings, target, whole = _columns(blobs[WANTED])
             order = np.argsort(document, kind="stable")
             document, start, strings, target, whole = (c[order] for c in (document, start, strings, target, whole))
@@ -376,7 +451,7 @@ def _merge_bucket(length: int, buckets: int) -> Callable:
             which = np.searchsorted(names, whole)
             smallest = np.full(len(names), np.iinfo(np.int64).max)
             np.minimum.at(smallest, which, document)
-            first, least = least_documents(fragments, smallest, length)
+            first, least = least_documents(fragments, smallest, length, runs_only=True)
             # Strings of all occurrences, end to end; runs of those that go.
             at = np.repeat(first[which] - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
             goes = least[at] < np.repeat(document, strings)
@@ -396,12 +471,12 @@ def _merge_bucket(length: int, buckets: int) -> Callable:
 
 
 def _apply(length: int, keep: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _grouped(batches):
+    def run(_: int, blobs: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        if TEXTS in blobs:
             spans = _columns(blobs[SPANS]) if SPANS in blobs else [np.zeros(0, np.int64)] * 3
             order = np.argsort(spans[0], kind="stable")
             document, start, strings = (c[order] for c in spans)
-            for blob in blobs.get(TEXTS, ()):
+            for blob in blobs[TEXTS]:
                 ids, sizes, text = unpack_texts(blob)
                 offset = (np.cumsum(sizes) - sizes).tolist()
                 low, high = np.searchsorted(document, ids), np.searchsorted(document, ids, side="right")
@@ -447,13 +522,16 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
-    found = cut(dealt(named.mapInArrow(_find_runs(length, buckets), ROWS)).mapInArrow(_match(buckets), ROWS))
-    texts = named.mapInArrow(_pack_documents(buckets), ROWS)
-    pieces = dealt(texts.unionByName(found.where(F.col("kind") == WANTED))).mapInArrow(_cut_out(length), ROWS)
-    merged = dealt(pieces.unionByName(found.where(F.col("kind") == SEEN))).mapInArrow(_merge_bucket(length, buckets), ROWS)
+    found = cut(dealt(named.mapInArrow(frugal(_find_runs(length, buckets)), ROWS)).mapInArrow(frugal(_match(buckets)), ROWS))
+    texts = named.mapInArrow(frugal(_pack_documents(buckets)), ROWS)
+    # Both cogroups deal the texts alike, so that they are shuffled once.
+    wanted = found.where(F.col("kind") == WANTED)
+    pieces = texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_cogrouped(_cut_out(length), ROW_SCHEMA), ROWS)
+    merged = dealt(pieces.unionByName(found.where(F.col("kind") == SEEN))).mapInArrow(frugal(_merge_bucket(length, buckets)), ROWS)
     spans = merged.unionByName(found.where(F.col("kind") == SPANS))
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep
-    done = dealt(texts.unionByName(spans)).mapInArrow(_apply(length, keep), schema)
+    fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep
+    done = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cogrouped(_apply(length, keep), pa.schema(fields)), schema)
     size = F.octet_length("text").cast("bigint")
     nameless = rows.where("id is null").select("id", size.alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * keep)
     return done.unionByName(nameless).withColumnRenamed("id", id_col)

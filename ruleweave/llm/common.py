@@ -67,6 +67,44 @@ def worker_store() -> dict:
     return module.__dict__.setdefault("store", {})
 
 
+def worker_cache(key: tuple, make):
+    """make(), once per worker; what another operator kept there goes."""
+    store = worker_store()
+    if key not in store:
+        store.clear()
+        tidy()
+        store[key] = make()
+    return store[key]
+
+
+def tidy(collect: bool = True) -> None:
+    """Give memory that is free in this process back to the system: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def frugal(run):
+    """run, a function of batches, with a tidy worker after each task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
+
+
 class Generations(dict):
     """A cache with a size bound: entries move on while they are used, the rest age out.
 
