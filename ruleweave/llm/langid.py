@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import worker_store
+from ruleweave.llm.common import frugal, worker_cache
 
 #: Labelled rows and characters of each in training, at most; words that the lexicon holds and that a worker remembers.
 TRAIN_ROWS, TRAIN_CHARS, LEXICON, REMEMBERED = 1600, 1500, 50_000, 300_000
@@ -317,18 +317,19 @@ def annotate(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
     schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, key = worker_store(), ("langid", hash(model.value))
-        if key not in store:
+        def make() -> Labeller:
             own = Field([], {})
             own.__dict__.update(pickle.loads(model.value))
-            store[key] = Labeller(own)
+            return Labeller(own)
+
+        labeller = worker_cache(("langid", hash(model.value)), make)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                found = store[key].label(part.column(at).to_pylist())
+                found = labeller.label(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def accepted(docs: DataFrame, field: Field, least: float = 0.3, text_col: str = "text") -> DataFrame:

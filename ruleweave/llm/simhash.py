@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut, worker_store
+from ruleweave.llm.common import cut, deal_out, frugal, worker_store
 from ruleweave.llm.components import connected
 
 #: Distinct fingerprints of an anchor that one task compares; more are compared in pairs of blocks.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "id bigint, fp bigint")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -200,22 +200,8 @@ def linked(values: DataFrame, limit: int = LINKED) -> DataFrame:
 
     if limit > 4:
         raise ValueError("the anchors cover differences of 4 bits at most")
-    placed = values.mapInArrow(place, "anchor bigint, fp bigint")
-    crowded = placed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    crowded = cut(crowded.select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")))
-    plain = placed
-    whole = F.lit(0).cast("bigint")
-    if crowded.count():
-        hot = placed.join(crowded, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        block = F.least("own", "other").cast("bigint") * 1_000_000 + F.greatest("own", "other") + 1
-        hot = hot.select("anchor", block.alias("block"), "fp", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"))
-        plain = placed.join(crowded.select("anchor"), "anchor", "left_anti")
-        dealt = plain.select("anchor", whole.alias("block"), "fp", F.lit(0).alias("side")).unionByName(hot)
-    else:
-        dealt = plain.select("anchor", whole.alias("block"), "fp", F.lit(0).alias("side"))
-    dealt = dealt.select(F.xxhash64("anchor", "block").alias("key"), "anchor", "fp", "side")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(find, "a bigint, b bigint")
+    placed = values.mapInArrow(frugal(place), "anchor bigint, fp bigint")
+    return deal_out(placed, "anchor", "fp", HOT).select("key", "anchor", "fp", "side").mapInArrow(frugal(find), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LINKED) -> DataFrame:

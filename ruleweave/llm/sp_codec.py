@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import Generations, worker_store
+from ruleweave.llm.common import Generations, frugal, worker_cache
 
 SPACE = "▁"
 #: Distinct words and segments that a worker keeps; twice as many at most.
-WORD_LIMIT, SEGMENT_LIMIT = 250_000, 120_000
+WORD_LIMIT, SEGMENT_LIMIT = 180_000, 120_000
 #: Symbols up to which the agenda is a plain list; and the score of a pair that is no piece.
 SHORT, NEVER = 48, float("inf")
 SCHEMA = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -248,10 +248,7 @@ def _utf8(run: bytearray) -> str:
 
 def codec(model: bytes, check: bool = True) -> Codec:
     """The codec of this worker for these bytes."""
-    store, key = worker_store(), ("codec", hashlib.md5(model).digest(), check)
-    if key not in store:
-        store[key] = Codec(model, check)
-    return store[key]
+    return worker_cache(("codec", hashlib.md5(model).digest(), check), lambda: Codec(model, check))
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, check: bool = True) -> DataFrame:
@@ -283,4 +280,4 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import worker_store
+from ruleweave.llm.common import frugal, worker_cache
 
 #: Bytes of parts that go to the library in one call, and distinct parts a worker remembers.
 CALL_BYTES, REMEMBERED = 1 << 20, 400_000
@@ -117,15 +117,13 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        store, key = worker_store(), ("counter", hashlib.md5(model.value).digest())
-        if key not in store:
-            store[key] = Counter(model.value, kind)
+        counter = worker_cache(("counter", hashlib.md5(model.value).digest()), lambda: Counter(model.value, kind))
         for batch in batches:
             for start, rows in by_bytes(batch.column(1), batch_bytes):
                 part = batch.slice(start, rows)
                 sizes = pc.cast(pc.fill_null(pc.binary_length(part.column(1)), 0), pa.int64())
-                counts = pa.array(store[key].count(part.column(1).to_pylist()), pa.int64())
+                counts = pa.array(counter.count(part.column(1).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, counts, pc.greater(counts, max_tokens)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), "id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
