@@ -7,23 +7,21 @@ occurrence lies within one.
 
 1. The shingles of documents that stand in some template are found by one pass
    (a bitmap test, then equality; see decontam.occurrences).
-2. Of each window, they are the set whose MinHash signature is taken: BANDS bands
-   of ROWS values. Words around a licence don't dilute it, as they are no shingles
-   of a template. A window whose set has similarity 0.8 with a template agrees in
-   some band with probability 1 - (1 - 0.8^2)^32, over 1 - 10^-14; at 0.5, as
-   where two licences meet in a window, it is 0.9999.
-3. Bands that agree retrieve templates, and a match is one of which 80 % of the
-   distinct shingles are in the window, counted exactly.
+2. Each of them is counted for every template that holds it, in the windows it
+   stands in. Words around a licence, and other licences in the window, don't
+   count, so any number of licences may meet in one window.
+3. A match is a window with 80 % of the distinct shingles of a template. Every
+   window and template that share a shingle are counted, so none is missed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.llm.decontam import occurrences, words
 
-SHINGLE, BANDS, ROWS, SHARE = 5, 32, 2, 0.8
+SHINGLE, SHARE = 5, 0.8
 
 #: Notices and texts of public licences, as they are commonly written.
 TEMPLATES = {
@@ -46,13 +44,6 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(TEMPLATES.items()), "license_id string, text string")
 
 
-def _bands(shingles: Column, size: Column) -> Column:
-    """Hashes of the bands of a set's MinHash signature; the number of the band and the size class are part of each."""
-    numbered = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    least = [lambda b, k=k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b * ROWS + k))) for k in range(ROWS)]
-    return F.transform(numbered, lambda b: F.xxhash64(size, b, *[f(b) for f in least]))
-
-
 def template_shingles(templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(license, size, m, shingle) without repeats; a template of fewer words is one shingle, one of none has none."""
     cut = templates.select(F.col(id_col).cast("string").alias("license"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -71,23 +62,17 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     decontam.BROADCAST_WINDOWS shingles, and the join is shuffled beyond.
     """
     named = templates.withColumn(template_id_col, F.coalesce(F.col(template_id_col).cast("string"), F.lit("?")))
-    shingles = template_shingles(named, template_id_col, template_text_col).persist()
-    by_shingle = shingles.groupBy(F.col("shingle").alias("window"), "m").agg(F.collect_set("size").alias("sizes"), F.first("shingle").alias("shingle"))
+    shingles = template_shingles(named, template_id_col, template_text_col).withColumn("n", F.count("*").over(Window.partitionBy("license", "size")))
+    by_shingle = shingles.groupBy(F.col("shingle").alias("window"), "m").agg(F.collect_set(F.struct("license", "size", "n")).alias("holders"), F.first("shingle").alias("shingle"))
     seen = occurrences(docs, by_shingle, id_col, text_col)
-    rows = seen.select("row", "id", "n_words", "at", "shingle", F.explode_outer("sizes").alias("size"))
+    rows = seen.select("row", "id", "n_words", "at", "shingle", F.explode_outer("holders").alias("t")).select("row", "id", "n_words", "at", "shingle", "t.*")
     which = F.floor(F.col("at") / F.col("size")).cast("int")
     windows = F.when(F.col("size").isNotNull(), F.filter(F.array(which - 1, which), lambda k: k >= 0))
-    rows = rows.select("row", "id", "n_words", "shingle", "size", F.explode_outer(windows).alias("k"))
-    sets = rows.groupBy("row", "id", "n_words", "size", "k").agg(F.collect_set("shingle").alias("own"))
-    whole = shingles.groupBy("license", "size").agg(F.collect_set("shingle").alias("theirs"))
-    known = whole.select("license", "theirs", F.explode(F.array_distinct(_bands(F.col("theirs"), F.col("size")))).alias("band"))
-    looked = sets.where("size is not null").select("row", "size", "k", "own", F.explode(_bands(F.col("own"), F.col("size"))).alias("band"))
-    met = looked.join(known, "band").groupBy("row", "size", "k", "license").agg(F.first("own").alias("own"), F.first("theirs").alias("theirs"))
-    share = F.size(F.array_intersect("own", "theirs")) / F.size("theirs")
-    matches = met.select("row", "license", (F.col("k") * F.col("size")).alias("first_word"), share.alias("share")).where(F.col("share") >= SHARE)
-    matches = matches.groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("ids"), F.max("share").alias("share"), F.min("first_word").alias("first_word"))
-    all_rows = sets.groupBy("row", "id", "n_words").agg(F.count("*").alias("sets"))
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return all_rows.join(matches, "row", "left").select(
-        F.col("id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), F.size(ids).cast("bigint").alias("n_licenses"), F.array_join(ids, ",").alias("licenses"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("containment"), "first_word"
+    rows = rows.select("row", "id", "n_words", "shingle", "license", "size", "n", F.explode_outer(windows).alias("k"))
+    met = rows.groupBy("row", "id", "n_words", "license", "size", "n", "k").agg(F.size(F.collect_set("shingle")).alias("met"))
+    met = met.select("row", "id", "n_words", "license", (F.col("k") * F.col("size")).alias("first_word"), (F.col("met") / F.col("n")).alias("share"))
+    of_match = lambda c: F.when(F.col("share") >= SHARE, F.col(c))
+    found = met.groupBy("row", "id", "n_words").agg(F.array_sort(F.collect_set(of_match("license"))).alias("ids"), F.max(of_match("share")).alias("share"), F.min(of_match("first_word")).alias("first_word"))
+    return found.select(
+        F.col("id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), F.size("ids").cast("bigint").alias("n_licenses"), F.array_join("ids", ",").alias("licenses"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("containment"), "first_word"
     )

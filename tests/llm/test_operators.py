@@ -1,6 +1,7 @@
 """Each operator over the hard table, an empty table, and against brute force."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -481,6 +482,17 @@ def test_licenses(spark, docs, nothing):
     assert Counter(r["doc_id"] for r in licenses.scan(docs, templates).collect()) == Counter(i for i, _ in TEXTS)
 
 
+def test_licenses_that_share_a_window(spark):
+    """Three and four licences of one size class in one window, in every order and at several places."""
+    lines = {n: licenses.TEMPLATES[n] for n in ("apache-2.0-line", "cc-by-nc-4.0-line", "gpl-3.0-line")} | {"own-line": "Distributed under the terms of the Own License."}
+    templates = spark.createDataFrame(sorted((licenses.TEMPLATES | lines).items()), "license_id string, text string")
+    assert {r["size"] for r in licenses.template_shingles(templates, "license_id", "text").where(F.col("license").isin(list(lines))).collect()} == {16}
+    cases = [(order, at) for k in (3, 4) for order in itertools.permutations(lines, k) for at in (0, 5)]
+    texts = [(i, " ".join([sentence(i, at)] * (at > 0) + [lines[n] for n in order])) for i, (order, at) in enumerate(cases)]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string"), templates).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {i: ",".join(sorted(order)) for i, (order, _) in enumerate(cases)}
+
+
 # The queries and the pipeline
 
 
