@@ -1,8 +1,10 @@
 """Every query that SQL can express, against DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from ruleweave.plans import models, queries
 from ruleweave.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,3 +38,12 @@ def test_entry_without_operators(spark):
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and __spark_entry__.entry(spark).count() > 0
+
+
+def test_training_takes_all_rows(spark):
+    """The registered model is the one that local training on every order gives."""
+    rows = queries._samples(spark, FOLDER).orderBy("row_id").collect()
+    x = np.array([r["bits"] for r in rows])
+    model = models.VanillaClassifier(2, 9, 10, 10, 3.0, seed=7).fit_local(x, np.array([r["label"] for r in rows]), epochs=2)
+    got = {r["row_id"]: r["prediction"] for r in QUERIES["train_and_predict"](spark, FOLDER).collect()}
+    assert got == dict(zip([r["row_id"] for r in rows], model.predict(x).tolist()))
