@@ -94,6 +94,12 @@ def categorical_encode(spark, d):
     return encoder.encode_relational(late, "event_id").groupBy("bit").agg(F.count("*").alias("n"))
 
 
+def categorical_encode_all(spark, d):
+    """All events by the vocabulary of the first part; categorical_encode has the rest only."""
+    early, late = _halves(spark, d)
+    return Encoder.fit_categorical(early).encode_relational(early.unionByName(late), "event_id").groupBy("bit").agg(F.count("*").alias("n"))
+
+
 def vocabulary_extend(spark, d):
     early, late = _halves(spark, d)
     encoder = Encoder.fit_categorical(early)
@@ -297,7 +303,7 @@ def train_and_predict(spark, d):
     return model.transform(samples).select("row_id", "label", "prediction")
 
 
-_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, detection_rules, train_and_predict]
+_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, categorical_encode_all, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, detection_rules, train_and_predict]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ENTRIES}
 
 
@@ -361,6 +367,7 @@ ORACLE: dict[str, str] = {
     "literal_packing": f"with {_BITS} select row_id, cast(sum(case when b = 1 then 1 << bit else 1 << (bit + 9) end) as bigint) as word, cast(count(*) as integer) as n_literals from bits group by row_id",
     "vocabulary_fit": f"with {_EVENT}, {_VOCABULARY.format(source='tok')} select token, cast(bit as integer) as bit, case k when 0 then 'token' when 1 then 'unknown' else 'oov' end as kind from vocab",
     "categorical_encode": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, e as (select distinct event_id, coalesce(v.bit, u.bit, (select bit from vocab where k = 2)) as bit from tok left join vocab v on tok.token = v.token left join vocab u on split_part(tok.token, '::', 1) || '::<UNK>' = u.token where not early) select cast(bit as integer) as bit, count(*) as n from e group by bit",
+    "categorical_encode_all": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, e as (select distinct event_id, coalesce(v.bit, u.bit, (select bit from vocab where k = 2)) as bit from tok left join vocab v on tok.token = v.token left join vocab u on split_part(tok.token, '::', 1) || '::<UNK>' = u.token) select cast(bit as integer) as bit, count(*) as n from e group by bit",
     "vocabulary_extend": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, fresh as (select token, row_number() over (order by token) - 1 + (select count(*) from vocab) as bit from (select distinct token from tok where token not in (select token from vocab))) select token, cast(bit as integer) as bit from vocab union all select token, cast(bit as integer) from fresh",
     "clause_firing": f"with {_BITS}, {_fired(RULES)} select output, clause, count(*) as n from fired group by output, clause",
     "clause_blocking": f"with {_BITS}, rules as (select * from (values {_values(RULES)}) as x(output, clause, feature, negated)), j as (select row_id, output, clause, min(case when (b = 0) <> negated then feature + case when negated then 9 else 0 end end) as blocking from bits join rules on bit = feature group by row_id, output, clause) select output, clause, blocking, count(*) as n from j group by output, clause, blocking",

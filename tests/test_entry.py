@@ -47,3 +47,9 @@ def test_training_takes_all_rows(spark):
     model = models.VanillaClassifier(2, 9, 10, 10, 3.0, seed=7).fit_local(x, np.array([r["label"] for r in rows]), epochs=2)
     got = {r["row_id"]: r["prediction"] for r in QUERIES["train_and_predict"](spark, FOLDER).collect()}
     assert got == dict(zip([r["row_id"] for r in rows], model.predict(x).tolist()))
+
+
+def test_all_events_are_encoded(spark, db):
+    """Each event has a bit of its type and one of its user."""
+    n = sum(r["n"] for r in QUERIES["categorical_encode_all"](spark, FOLDER).collect())
+    assert n == 2 * db.execute("select count(*) from events").fetchone()[0]
