@@ -57,6 +57,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signs(spark: SparkSession, d: str, n: int = 16) -> DataFrame:
+    """Signs of the first n of the 64 components: the fixed rules, and their SQL, are defined on those features only."""
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform(F.slice("embedding", 1, n), lambda v: (v > 0).cast("tinyint")).alias("bits"), "label")
 
 
