@@ -493,6 +493,17 @@ def test_licenses_that_share_a_window(spark):
     assert {r["doc_id"]: r["licenses"] for r in got} == {i: ",".join(sorted(order)) for i, (order, _) in enumerate(cases)}
 
 
+def test_licenses_need_the_whole_text(spark):
+    """The opening under other terms is no match, and BSD-3-Clause is not the same as BSD-2-Clause."""
+    t, other = licenses.TEMPLATES, sentence(5, 80)
+    cut = {"mit": "THE SOFTWARE IS PROVIDED", "isc": "THE SOFTWARE IS PROVIDED", "bsd-2-clause": "THIS SOFTWARE IS PROVIDED", "unlicense": "In jurisdictions"}
+    texts = [(f"{k} cut", t[k].split(v)[0] + other) for k, v in cut.items()] + [(k, t[k]) for k in cut]
+    head, tail = t["bsd-2-clause"].split(cut["bsd-2-clause"])
+    texts += [("bsd-3-clause", head + t.get("bsd-3-clause-endorsement", "") + " " + cut["bsd-2-clause"] + tail)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id string, text string"), licenses.default_templates(spark)).collect()}
+    assert got == {f"{k} cut": "" for k in cut} | {k: k for k in cut} | {"bsd-3-clause": "bsd-2-clause,bsd-3-clause-endorsement"}
+
+
 # The queries and the pipeline
 
 
