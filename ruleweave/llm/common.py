@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -18,17 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share.
 
-    One is made here only where the session names none, as in tests on one machine.
+    One is made here only where the session names none and the driver runs all tasks itself, as in tests.
     """
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="ruleweave-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back; a lost executor loses none of it."""
     shared_folder(df.sparkSession)
@@ -61,6 +72,26 @@ def deal_out(placed: DataFrame, by: str, item: str, limit: int) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, limit: int = 20_000) -> DataFrame:
+    """left joined with right (one row per key at most, all keys of left) where one key may hold most rows of left.
+
+    Keys with more than `limit` rows, or a 20,000th of all rows if that is more,
+    are at most 20,000, a broadcast of bounded size. Their rows are dealt over
+    blocks of about that limit, and their row of right is repeated once a block.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    limit = max(limit, (counts.agg(F.sum("n")).first()[0] or 0) // 20_000)
+    crowded = cut(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__blocks")))
+    if not crowded.count():
+        return left.join(right, key)
+    crowded = F.broadcast(crowded)
+    item = F.xxhash64(*[c for c in left.columns if c != key]) if len(left.columns) > 1 else F.rand()
+    blocks = F.coalesce("__blocks", F.lit(1))
+    dealt = left.join(crowded, key, "left").withColumn("__block", F.pmod(item, blocks)).drop("__blocks")
+    repeated = right.join(crowded, key, "left").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1))).drop("__blocks")
+    return dealt.join(repeated, [key, "__block"]).drop("__block")
+
+
 def worker_store() -> dict:
     """A dictionary that lives as long as the Python worker, whatever task runs in it."""
     module = sys.modules.setdefault("_ruleweave_worker", types.ModuleType("_ruleweave_worker"))
@@ -68,7 +99,7 @@ def worker_store() -> dict:
 
 
 def worker_cache(key: tuple, make):
-    """make(), once per worker; what another operator kept there goes."""
+    """make(), once per worker; what stands under other keys goes."""
     store = worker_store()
     if key not in store:
         store.clear()
@@ -93,10 +124,16 @@ def tidy(collect: bool = True) -> None:
         pass  # another C library
 
 
-def frugal(run):
-    """run, a function of batches, with a tidy worker after each task."""
+def frugal(run, owner: str = ""):
+    """run, a function of batches, in a worker that keeps nothing of other operators and is tidy after each task.
+
+    Of what worker_cache keeps, only entries whose key begins with `owner` outlive the start of the task.
+    """
 
     def tidied(batches):
+        store = worker_store()
+        for key in [k for k in store if k[0] != owner]:
+            del store[key]
         try:
             yield from run(batches)
         finally:
@@ -108,14 +145,17 @@ def frugal(run):
 class Generations(dict):
     """A cache with a size bound: entries move on while they are used, the rest age out.
 
-    At most 2 * limit entries are held; a value is always make(key).
+    At most 2 * limit entries are held; keys longer than `widest` are not, so the
+    bytes held are bounded too. A value is always make(key).
     """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int, widest: int = 64):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.widest, self.old = make, limit, widest, {}
 
     def __missing__(self, key):
+        if len(key) > self.widest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

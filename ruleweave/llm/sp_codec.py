@@ -8,8 +8,9 @@ end outside the vocabulary become byte pieces.
 
 No merge can cross a pair of characters that stands side by side in no piece, so
 texts fall apart at such pairs; each distinct segment goes through the agenda
-once per worker (a cache with a size bound), and each distinct word is compared
-with the sentencepiece library, a batch at a time.
+once per worker (a cache that bounds entries and their length; longer segments
+are not kept), and each segment that is made is compared with the sentencepiece
+library, ids and decoded text, a batch at a time.
 """
 
 from __future__ import annotations
@@ -60,6 +61,12 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+def described(model: bytes) -> tuple[dict, dict]:
+    """(trainer, normaliser) settings of a model file."""
+    trainer = dict(_fields(next((v for n, v in _fields(model) if n == 2), b"")))
+    return trainer, dict(_fields(next((v for n, v in _fields(model) if n == 3), b"")))
+
+
 class Codec:
     """Encoder and decoder for the bytes of one .model file."""
 
@@ -79,8 +86,7 @@ class Codec:
         self.unknown = self.library.unk_id()
         #: Text of each id; None for bytes.
         self.text_of = [None if i in self.byte_of else " ⁇ " if i == self.unknown else "" if self.library.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
-        normalizer = dict(_fields(next((v for n, v in _fields(model) if n == 3), b"")))
-        trainer = dict(_fields(next((v for n, v in _fields(model) if n == 2), b"")))
+        trainer, normalizer = described(model)
         if trainer.get(3, 1) != 2:
             raise ValueError("not a merge-type (BPE) model")
         if normalizer.get(2, b"") or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
@@ -222,6 +228,9 @@ class Codec:
             for (segment, ids), found in zip(pairs, theirs, strict=True):
                 if ids != ",".join(map(str, found[drop:])) and segment != self.prefix:
                     raise ValueError(f"the agenda and the library differ on {segment!r}: {ids} and {found[drop:]}")
+            for found, text in zip(theirs, self.library.decode(theirs) if theirs else [], strict=True):
+                if text != self.decode(found):
+                    raise ValueError(f"decoding and the library differ on {found}: {self.decode(found)!r} and {text!r}")
         self.unchecked = []
 
 
@@ -280,4 +289,4 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run, "codec"), schema).withColumnRenamed("id", id_col)
