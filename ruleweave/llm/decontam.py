@@ -6,7 +6,8 @@ windows in a document:
 
 1. A bitmap of the windows' hashes, a literal of bounded size, tests each
    position of the document. The hash takes four spread words of the window, so
-   the test is necessary for a match and never misses one.
+   the test is necessary for a match and never misses one. It has 16 bits a
+   window or more up to 8 million windows; beyond, more places are looked up.
 2. The positions that pass give their whole window as a string, which is joined
    with the distinct windows of the items: equality of all words verifies the
    hit. The windows are broadcast below BROADCAST_WINDOWS rows; above, the join
@@ -23,8 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Windows up to which they are broadcast (each has a few hundred bytes); bits of the bitmap at most.
-BROADCAST_WINDOWS, MAX_BITS = 100_000, 1 << 21
+from ruleweave.llm.common import cut
+
+#: Windows up to which they are broadcast (each has a few hundred bytes); bits of the bitmap for these at most, and at most at all (16 MB).
+BROADCAST_WINDOWS, SMALL_BITS, MAX_BITS = 100_000, 1 << 21, 1 << 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,10 +40,10 @@ def words(text: Column) -> Column:
 
 def item_windows(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """Distinct (window, m, item_ids): the words joined by spaces, their number, the items that hold it."""
-    cut = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    cut = cut.withColumn("m", F.least(F.size("w"), F.lit(n)))
+    worded = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    worded = worded.withColumn("m", F.least(F.size("w"), F.lit(n)))
     starts = F.sequence(F.lit(0), F.size("w") - F.col("m"))
-    each = cut.select("item", "m", "w", F.explode(starts).alias("at")).select("item", "m", F.array_join(F.slice("w", F.col("at") + 1, F.col("m")), " ").alias("window"))
+    each = worded.select("item", "m", "w", F.explode(starts).alias("at")).select("item", "m", F.array_join(F.slice("w", F.col("at") + 1, F.col("m")), " ").alias("window"))
     return each.groupBy("window", "m").agg(F.collect_set("item").alias("item_ids"))
 
 
@@ -79,13 +82,15 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     Rows: row (a number of a document row in this run), id, n_words, at (first
     word), m and the further columns of the window; these are null in the rows
     that keep documents, or places that only looked like one, without a window.
+    Null and empty texts have no words; null ids, repeated rows and empty tables
+    stay what they are; other columns of docs are dropped.
     """
-    windows = windows.persist()
+    windows = cut(windows)
     lengths = {r["m"]: r["n"] for r in windows.groupBy("m").agg(F.count("*").alias("n")).collect()}  # a row per length
     total = sum(lengths.values())
     found = F.array().cast("array<struct<at:int,m:int,window:string>>")
     bits = 1 << 12
-    while bits < min(MAX_BITS, 256 * total):
+    while bits < min(MAX_BITS, max(min(SMALL_BITS, 256 * total), 16 * total)):
         bits *= 2
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     for m in sorted(lengths):
@@ -97,7 +102,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     keyed = windows.withColumnsRenamed({"window": "key_window", "m": "key_m"})
     keyed = F.broadcast(keyed) if total <= BROADCAST_WINDOWS else keyed.hint("merge")
     rows = rows.select("row", "id", "n_words", F.col("f.at").alias("at"), F.col("f.m").alias("m"), F.col("f.window").alias("window"))
-    return rows.join(keyed, (F.col("window") == F.col("key_window")) & (F.col("m") == F.col("key_m")), "left").drop("window", "key_window", "key_m")
+    # Rows without a window are spread over all tasks of a shuffled join by a name that no window has.
+    sought = F.coalesce("window", F.concat(F.lit("-"), F.col("row").cast("string")))
+    return rows.join(keyed, (sought == F.col("key_window")) & (F.coalesce("m", F.lit(0)) == F.col("key_m")), "left").drop("window", "key_window", "key_m")
 
 
 def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -132,7 +139,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, one_in: int =
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; rows are matched by id and text."""
+    """The rows of docs, all columns, that are not contaminated; rows are matched by id and text.
+
+    Null and empty texts, and rows with null ids, are judged like any other; repeated rows stay or go together.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     key = F.struct(F.col(id_col), F.sha2(F.col(text_col).cast("string"), 256).alias("sha"))
     found = decontaminate(docs.select(key.alias("__key"), text_col), items, **options | {"id_col": "__key"})

@@ -6,22 +6,29 @@ are cut into windows of 2 * S words that begin every S words, so that each
 occurrence lies within one.
 
 1. The shingles of documents that stand in some template are found by one pass
-   (a bitmap test, then equality; see decontam.occurrences).
-2. Each of them is counted for every template that holds it, in the windows it
-   stands in. Words around a licence, and other licences in the window, don't
-   count, so any number of licences may meet in one window.
-3. A match is a window with 80 % of the distinct shingles of a template. Every
-   window and template that share a shingle are counted, so none is missed.
+   (a bitmap test, then equality; see decontam.occurrences). Others can't count
+   for any containment, so a window is the set of those that remain.
+2. Each window has a MinHash signature of one value a band. Two sets meet in a
+   band with a probability of their Jaccard similarity J. A window of class S
+   holds at most W shingles, however many licences meet in it, so a template of
+   n shingles of which it holds a share of 0.8 has J >= 0.8 n / (W + 0.2 n). The
+   number of bands follows from the least n of the class: such a pair is missed
+   with a probability of MISS at most.
+3. Windows and templates that meet in a band are verified: a match is a window
+   with 80 % of the distinct shingles of the template, counted exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.llm.decontam import occurrences, words
+from ruleweave.llm.common import cut
+from ruleweave.llm.decontam import BROADCAST_WINDOWS, occurrences, words
 
-SHINGLE, SHARE = 5, 0.8
+SHINGLE, SHARE, MISS = 5, 0.8, 1e-9
 
 #: Lines, notices and whole texts (without the copyright line) of public licences, as they are commonly written. BSD-3-Clause is BSD-2-Clause
 #: and one more clause, and each whole text has over 80 % of the other, so that clause is a template of its own.
@@ -48,33 +55,62 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 def template_shingles(templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(license, size, m, shingle) without repeats; a template of fewer words is one shingle, one of none has none."""
-    cut = templates.select(F.col(id_col).cast("string").alias("license"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    worded = templates.select(F.col(id_col).cast("string").alias("license"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("w") * 1.25, F.lit(8.0))))).cast("int")
-    cut = cut.select("license", size.alias("size"), "w", F.least(F.size("w"), F.lit(SHINGLE)).alias("m"))
-    each = cut.select("license", "size", "m", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("m"))).alias("at"))
+    worded = worded.select("license", size.alias("size"), "w", F.least(F.size("w"), F.lit(SHINGLE)).alias("m"))
+    each = worded.select("license", "size", "m", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("m"))).alias("at"))
     return each.select("license", "size", "m", F.array_join(F.slice("w", F.col("at") + 1, F.col("m")), " ").alias("shingle")).distinct()
 
 
+def bands_of(size: int, lengths: list[int], least: int) -> int:
+    """Bands by which a window of 2 * size words that holds SHARE of `least` shingles or more is missed with probability MISS."""
+    widest = sum(max(0, 2 * size - m + 1) for m in lengths)
+    return math.ceil(math.log(MISS) / math.log1p(-min(0.999, SHARE * least / (widest + (1 - SHARE) * least))))
+
+
+def signature(hashes: Column, bands: Column) -> Column:
+    """The least value of each band's hash function over a set of hashes."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+
+
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", template_id_col: str = "license_id", template_text_col: str = "text") -> DataFrame:
     """Return id_col, n_words, n_licenses, licenses (ids, sorted, comma-joined), containment (the best, 0 if none) and first_word (of the first window that matches, else null) of every row.
 
     Null and empty texts match nothing; repeated rows give repeated results; a
-    null template id reads as `?`; with no templates nothing matches; other
-    columns are dropped. The templates are a small table: it is broadcast up to
-    decontam.BROADCAST_WINDOWS shingles, and the join is shuffled beyond.
+    null template id reads as `?`; templates of one id are one template; with no
+    templates nothing matches; other columns are dropped. The templates' shingles
+    and bands are broadcast up to decontam.BROADCAST_WINDOWS rows, and the joins
+    are shuffled beyond. Windows are written to the checkpoint folder once, so
+    that all that follows reads the same rows.
     """
     named = templates.withColumn(template_id_col, F.coalesce(F.col(template_id_col).cast("string"), F.lit("?")))
-    shingles = template_shingles(named, template_id_col, template_text_col).withColumn("n", F.count("*").over(Window.partitionBy("license", "size")))
-    by_shingle = shingles.groupBy(F.col("shingle").alias("window"), "m").agg(F.collect_set(F.struct("license", "size", "n")).alias("holders"), F.first("shingle").alias("shingle"))
+    shingles = cut(template_shingles(named, template_id_col, template_text_col))
+    classes = shingles.groupBy("license", "size").agg(F.count("*").alias("n"), F.collect_set("m").alias("ms"))
+    classes = classes.groupBy("size").agg(F.min("n").alias("least"), F.array_distinct(F.flatten(F.collect_list("ms"))).alias("ms")).collect()  # a row per power of two
+    bands = {r["size"]: bands_of(r["size"], r["ms"], r["least"]) for r in classes}
+    bands_of_size = F.coalesce(*[F.when(F.col("size") == s, F.lit(n)) for s, n in bands.items()], F.lit(1))
+
+    by_shingle = shingles.groupBy(F.col("shingle").alias("window"), "m").agg(F.collect_set("size").alias("sizes"), F.first("shingle").alias("shingle"))
     seen = occurrences(docs, by_shingle, id_col, text_col)
-    rows = seen.select("row", "id", "n_words", "at", "shingle", F.explode_outer("holders").alias("t")).select("row", "id", "n_words", "at", "shingle", "t.*")
+    rows = seen.select("row", "id", "n_words", "at", "shingle", F.explode_outer("sizes").alias("size"))
     which = F.floor(F.col("at") / F.col("size")).cast("int")
     windows = F.when(F.col("size").isNotNull(), F.filter(F.array(which - 1, which), lambda k: k >= 0))
-    rows = rows.select("row", "id", "n_words", "shingle", "license", "size", "n", F.explode_outer(windows).alias("k"))
-    met = rows.groupBy("row", "id", "n_words", "license", "size", "n", "k").agg(F.size(F.collect_set("shingle")).alias("met"))
-    met = met.select("row", "id", "n_words", "license", (F.col("k") * F.col("size")).alias("first_word"), (F.col("met") / F.col("n")).alias("share"))
-    of_match = lambda c: F.when(F.col("share") >= SHARE, F.col(c))
-    found = met.groupBy("row", "id", "n_words").agg(F.array_sort(F.collect_set(of_match("license"))).alias("ids"), F.max(of_match("share")).alias("share"), F.min(of_match("first_word")).alias("first_word"))
+    rows = rows.select("row", "id", "n_words", "shingle", "size", F.explode_outer(windows).alias("k"))
+    sets = cut(rows.groupBy("row", "id", "n_words", "size", "k").agg(F.collect_set("shingle").alias("held")))
+
+    known = shingles.groupBy("license", "size").agg(F.collect_set("shingle").alias("whole"))
+    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    tokens = cut(known.select("license", "size", "whole", F.explode(signature(hashes("whole"), bands_of_size)).alias("token")))
+    small = tokens.count() <= BROADCAST_WINDOWS
+    placed = sets.where("size is not null").select("row", "id", "n_words", "size", "k", "held", F.explode(signature(hashes("held"), bands_of_size)).alias("token"))
+    met = placed.join((F.broadcast if small else lambda d: d)(tokens.select("license", "size", "token")), ["size", "token"])
+    met = met.groupBy("row", "id", "n_words", "size", "k", "license").agg(F.first("held").alias("held"))
+    known = known.select("license", "size", "whole")
+    met = met.join((F.broadcast if small else lambda d: d)(known), ["license", "size"])
+    share = F.size(F.array_intersect("held", "whole")) / F.size("whole")
+    met = met.select("row", "id", "n_words", "license", (F.col("k") * F.col("size")).alias("first_word"), share.alias("share")).where(F.col("share") >= SHARE)
+    none = sets.select("row", "id", "n_words", F.lit(None).cast("string").alias("license"), F.lit(None).cast("int").alias("first_word"), F.lit(None).cast("double").alias("share"))
+    found = met.unionByName(none).groupBy("row", "id", "n_words").agg(F.array_sort(F.collect_set("license")).alias("ids"), F.max("share").alias("share"), F.min("first_word").alias("first_word"))
     return found.select(
         F.col("id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), F.size("ids").cast("bigint").alias("n_licenses"), F.array_join("ids", ",").alias("licenses"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("containment"), "first_word"
     )
