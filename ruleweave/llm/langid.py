@@ -8,17 +8,18 @@ cost in the training data. Forward-backward gives each word's probabilities; a
 document's language is the label with the largest mean probability, which is its
 score.
 
-Training takes at most TRAIN_ROWS labelled rows, spread over the languages, and
-TRAIN_CHARS characters of each from a hashed place on; they are joined into
-sequences that switch language now and then. It maximises the conditional
-likelihood by Adagrad on the driver; the bound doesn't depend on the input. The
-model (a few MB) is broadcast. Prediction reads whole texts, cut into blocks of
-64 words whose transfer matrices are multiplied, so long texts cost no more
-than short ones.
+Whole labelled texts are cut into passages of PASSAGE characters; training takes
+at most TRAIN_ROWS of these labelled rows, drawn by a hash from all of them and
+spread over the languages (each has one at least). They are joined into sequences
+that switch language now and then. It maximises the conditional likelihood by
+Adagrad on the driver; the bound doesn't depend on the input. The model (a few
+MB) is broadcast. Prediction reads whole texts, cut into blocks of 64 words whose
+transfer matrices are multiplied, so long texts cost no more than short ones.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections import Counter
@@ -28,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ruleweave.llm.common import frugal, worker_cache
 
-#: Labelled rows and characters of each in training, at most; words that the lexicon holds and that a worker remembers.
-TRAIN_ROWS, TRAIN_CHARS, LEXICON, REMEMBERED = 1600, 1500, 50_000, 300_000
+#: Labelled passages in training, at most, and their characters; words that a worker remembers, and their characters at most.
+TRAIN_ROWS, PASSAGE, REMEMBERED, WIDEST = 1600, 1500, 300_000, 64
 #: Buckets of hashed n-grams, bytes of n-grams, words of a block, words handled at once.
 BUCKETS, SIZES, BLOCK, AT_ONCE = 1 << 16, (2, 3, 4, 5), 64, 300_000
 #: Training: sequences' words, words between switches on average, passes, rate, weight decay.
@@ -41,6 +43,14 @@ WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+def split_words(text: str) -> list[str]:
+    """Runs of letters. Numbers such as one half, which the pattern takes for letters, stand between words."""
+    found = WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for part in found for w in ("".join(c if c.isalpha() else " " for c in part).split() if not part.isalpha() else [part])]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of each n-gram of the words between a begin and an end mark."""
     text = b"".join(b"\x01" + w.encode() + b"\x02" for w in words)
@@ -203,21 +213,28 @@ class Labeller:
         self.field, self.index, self.scores, self.held = field, {}, np.zeros((0, len(field.labels)), np.float32), 0
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Scores of the words, which are looked up once per distinct word."""
-        new = list(set(words) - self.index.keys())
+        """Scores of the words, which are looked up once per distinct word; long words are not remembered."""
+        distinct = set(words)
+        long = sorted(w for w in distinct if len(w) > WIDEST)
+        new = list(distinct - self.index.keys() - set(long))
         if len(self.index) + len(new) > REMEMBERED:
-            self.index, self.held, new = {}, 0, list(set(words))
-        if new:
-            if self.held + len(new) > len(self.scores):
-                grown = np.zeros((max(2 * len(self.scores), self.held + len(new)), len(self.field.labels)), np.float32)
-                grown[: self.held] = self.scores[: self.held]
-                self.scores = grown
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
-                self.scores[self.held : self.held + len(part)] = self.field.emissions(part)
-                self.index.update(zip(part, range(self.held, self.held + len(part))))
-                self.held += len(part)
-        return self.scores[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+            self.index, self.held, new = {}, 0, list(distinct - set(long))
+        need = self.held + len(new) + len(long)
+        if need > len(self.scores):
+            grown = np.zeros((max(2 * len(self.scores), need), len(self.field.labels)), np.float32)
+            grown[: self.held] = self.scores[: self.held]
+            self.scores = grown
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            self.scores[self.held : self.held + len(part)] = self.field.emissions(part)
+            self.index.update(zip(part, range(self.held, self.held + len(part))))
+            self.held += len(part)
+        if not long:
+            return self.scores[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+        for i, word in enumerate(long):
+            self.scores[self.held + i] = self.field.emissions([word])[0]
+        place = {w: self.held + i for i, w in enumerate(long)}
+        return self.scores[np.fromiter((place[w] if len(w) > WIDEST else self.index[w] for w in words), np.int64, len(words))]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
@@ -226,7 +243,7 @@ class Labeller:
             return out
         held, words, sizes = [], [], []
         for i, text in enumerate(texts):
-            own = WORD.findall(text.lower()) if text else []
+            own = split_words(text.lower()) if text else []
             if own:
                 held.append(i)
                 words += own
@@ -248,7 +265,7 @@ class Labeller:
 
 def label_words(field: Field, text: str) -> list[tuple[str, str, float]]:
     """(word, language, probability) of each word of a text."""
-    words = WORD.findall(text)
+    words = split_words(text)
     if not words:
         return []
     found = word_probabilities(field.emissions([w.lower() for w in words]), np.array([len(words)]), field.move)
@@ -259,23 +276,31 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Fit a field to rows with a language and a text whose id is not held out; the choice is a hash of the id."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> Field:
+    """Fit a field to at most `most` passages (one a language at least) of rows with a language and a text whose id is not held out.
+
+    Rows with a null id, language or text are left out, empty texts have no
+    passage, repeated rows weigh as often as they stand. Without any passage the
+    field has no labels and calls everything `und`. Other columns are not read.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_ROWS).collect()}
+    last = F.floor((F.length("text") - 1) / PASSAGE).cast("int")
+    known = known.where(F.length("text") > 0)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(last + 1).alias("n")).collect()}  # a row a language
     if not counts:
         return Field([], {})
-    labels, each = sorted(counts), max(1, TRAIN_ROWS // len(counts))
-    rate = F.create_map(*[F.lit(v) for lang in labels for v in (lang, min(1.0, 2.0 * each / counts[lang]))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000))
-    picked = known.where(draw < F.ceil(rate[F.col("lang")] * 1_000_000)).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("order"), "id"), "id"))).where(F.col("at") <= each)
-    start = F.pmod(F.xxhash64(F.lit("place"), "id"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)).cast("int") + 1
-    rows = picked.select("lang", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"), "id").orderBy("lang", "at").collect()
+    labels, each = sorted(counts), max(1, most // len(counts))
+    rate = F.create_map(*[F.lit(v) for lang in labels for v in (lang, math.ceil(1_000_000 * min(1.0, 2.0 * each / counts[lang])))])
+    # Texts stay behind the draw: only passages that are drawn are cut out.
+    drawn = known.select("*", F.filter(F.sequence(F.lit(0), last), lambda k: F.pmod(F.xxhash64(F.lit("sample"), "id", k), F.lit(1_000_000)) < rate[F.col("lang")]).alias("ks")).where(F.size("ks") > 0)
+    drawn = drawn.select("lang", "id", F.explode(F.transform("ks", lambda k: F.struct(k.alias("k"), F.substring("text", k * PASSAGE + 1, F.lit(PASSAGE)).alias("text")))).alias("p")).select("lang", "id", "p.*")
+    picked = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("order"), "id", "k"), "id", "k"))).where(F.col("at") <= each)
+    rows = picked.select("lang", "text", "at").orderBy("lang", "at").collect()
     place = {lang: i for i, lang in enumerate(labels)}
-    passages = [(place[r["lang"]], WORD.findall(r["text"].lower())) for r in rows]
+    passages = [(place[r["lang"]], split_words(r["text"].lower())) for r in rows]
     counted = Counter(w for _, ws in passages for w in ws)
-    frequent = [w for w, c in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if c > 1]
+    frequent = [w for w, c in sorted(counted.items(), key=lambda x: (-x[1], x[0])) if c > 1]
     lexicon = {w: i for i, w in enumerate(frequent, 1)}
     rng = np.random.default_rng(11)
     pieces = []
@@ -306,15 +331,17 @@ def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     Texts without a letter, null ones too, are `und` with score 0; a null id is
     held in; repeated rows give repeated results; other columns are dropped.
     """
-    return annotate(docs.select(id_col, text_col), field, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    found = annotate(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), field, "text")
+    return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def annotate(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with lang_pred and score (columns of these names are replaced)."""
+    """docs, all columns as they are, with __lang and __score (columns of these names are replaced)."""
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field.__dict__))
-    docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double"
+    docs = docs.drop("__lang", "__score")
+    at, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever their names, dots too
+    schema = StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Labeller:
@@ -327,12 +354,20 @@ def annotate(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 found = labeller.label(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*part.schema.names, "__lang", "__score"])
+
+    return docs.mapInArrow(frugal(run, "langid"), schema).toDF(*names, "__lang", "__score")
 
-    return docs.mapInArrow(frugal(run), schema)
 
+def accepted(docs: DataFrame, field: Field, margin: float = 0.05, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, whose language is determined.
 
-def accepted(docs: DataFrame, field: Field, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their own columns, whose language is determined with a score of at least `least`."""
-    kept = annotate(docs, field, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*docs.columns)
+    The score is the largest of n mean probabilities, so it is 1 / n or more. It
+    is determined if it lies above that by `margin` of what is possible:
+    (n * score - 1) / (n - 1) >= margin, whatever the number of languages. Texts
+    without a letter, null ones too, are not. Null ids, repeated rows and empty
+    tables are no special case.
+    """
+    n = len(field.labels)
+    sure = F.col("__score") * n - 1 >= margin * (n - 1) if n > 1 else F.lit(True)
+    return annotate(docs, field, text_col).where((F.col("__lang") != UNDETERMINED) & sure).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
