@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ruleweave.llm.common import cut, deal_out, frugal, worker_store
+from ruleweave.llm.common import cut, deal_out, frugal, spread_join, worker_cache
 from ruleweave.llm.components import connected
 
 #: Distinct fingerprints of an anchor that one task compares; more are compared in pairs of blocks.
@@ -56,15 +57,18 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: bool = False) -> DataFrame:
+    """(id, fp) of every row; fp is the fingerprint as a signed bigint. With keep, (id_col as it is, fp)."""
+    name = F.col(id_col).alias("key") if keep else F.col(id_col).cast("bigint").alias("id")
+    rows = docs.select(name, F.col(text_col).cast("string").alias("text"))
+    label = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [label, "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "id bigint, fp bigint")
+    return rows.mapInArrow(frugal(run), StructType([rows.schema.fields[0], StructField("fp", LongType())]))
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -77,8 +81,8 @@ def _syndrome(x: np.ndarray) -> np.ndarray:
 
 def _patterns() -> tuple[np.ndarray, np.ndarray]:
     """Differences to code words by syndrome: (one of weight 3 or less, all of weight 4 or less padded by repeats)."""
-    store = worker_store()
-    if "golay" not in store:
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
         ones = 1 << np.arange(23, dtype=np.int64)
         by_weight = [np.zeros(1, np.int64)]
         for _ in range(4):
@@ -90,8 +94,9 @@ def _patterns() -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(_syndrome(every), kind="stable")
         each = np.split(every[order], np.cumsum(np.bincount(_syndrome(every), minlength=2048))[:-1])
         width = max(map(len, each))
-        store["golay"] = first, np.array([np.resize(e, width) for e in each])
-    return store["golay"]
+        return first, np.array([np.resize(e, width) for e in each])
+
+    return worker_cache(("golay",), make)
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,12 +205,21 @@ def linked(values: DataFrame, limit: int = LINKED) -> DataFrame:
 
     if limit > 4:
         raise ValueError("the anchors cover differences of 4 bits at most")
-    placed = values.mapInArrow(frugal(place), "anchor bigint, fp bigint")
+    placed = values.mapInArrow(frugal(place, "golay"), "anchor bigint, fp bigint")
     return deal_out(placed, "anchor", "fp", HOT).select("key", "anchor", "fp", "side").mapInArrow(frugal(find), "a bigint, b bigint")
 
 
+def _components(rows: DataFrame, limit: int) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of rows (id, fp)."""
+    values = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = cut(connected(linked(values.select("fp"), limit)))
+    values = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    components = values.groupBy("root").agg(F.min("least").alias("component_id"))
+    return spread_join(values.select("root", "fp"), components, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LINKED) -> DataFrame:
-    """Return id_col, fingerprint (16 hex digits) and component_id of every row.
+    """Return id_col (as bigint: ids must be numbers), fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the smallest id that can be reached over links of `limit`
     bits or fewer, the row's own included. Texts without words, null ones too,
@@ -214,16 +228,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     results; an empty table gives no rows; other columns are dropped.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    values = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = cut(connected(linked(values.select("fp"), limit)))
-    values = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    components = values.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = values.select("fp", "root").join(components, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = spread_join(rows, _components(rows, limit), "fp")
+    return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LINKED) -> DataFrame:
-    """The rows of docs, all columns, whose id is that of their component; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, limit)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs, all columns, whose id is that of their component; rows with a null id stay.
+
+    Rows are judged by id and text: of rows that repeat an id, those whose own
+    text has an earlier near duplicate go and the others stay.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    own = docs.select(F.struct(F.col(id_col).cast("bigint").alias("id"), digest.alias("md5")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    keyed = cut(fingerprints(own, "key", "text", keep=True))
+    rows = keyed.select("key.id", "fp")
+    found = spread_join(keyed.select("fp", "key.id", "key.md5"), _components(rows, limit), "fp")
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__id"), F.col("md5").alias("__md5")).distinct()
+    return docs.join(gone, (docs[id_col].cast("bigint") == gone["__id"]) & (digest == gone["__md5"]), "left_anti")
