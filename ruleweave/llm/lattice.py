@@ -4,7 +4,8 @@ Equal vectors of a label are one class. In each of TABLES tables a class is
 projected by a random Gaussian 64 -> 8 matrix and decoded to the nearest point
 of the E8 lattice, its home cell; it also probes the PROBES neighbouring cells
 whose points come next. Two classes meet in a table if the home of one is home
-or probe of the other. Meetings are verified by cosine in double precision.
+or probe of the other, so in each cell those at home are compared with all.
+Meetings are verified by cosine in double precision.
 
 At cosine 0.98, scale 1, six tables and four probes find over 99.9 % of pairs
 (measured in tests; nearer pairs more), and a cell holds about one in 2^16 of a
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import cut, deal_out
+from ruleweave.llm.common import cut, deal_out, frugal, spread_join
 from ruleweave.llm.components import connected
 from ruleweave.llm.simhash import _runs, forest
 
 TABLES, PROBES, SCALE, SEED = 6, 4, 1.0, 20240229
-#: Classes of a cell that one task compares; more are compared in pairs of blocks. Pairs verified at once.
-HOT, AT_ONCE = 8_000, 1 << 18
+#: Classes of a cell that one task compares; more are compared in pairs of blocks. Products of one call, pairs held, rows read at once.
+HOT, AT_ONCE, PAIRS, READ = 8_000, 1 << 18, 1 << 18, 100_000
 
 
 def _shortest() -> np.ndarray:
@@ -92,27 +93,65 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :1] == b).any(axis=1)
 
 
-def links_of_cell(cell: int, table: int, ids: np.ndarray, vectors: np.ndarray, where: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one cell that link and were not met before."""
+def close_pairs(group: np.ndarray, home: np.ndarray, side: np.ndarray, vectors: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one group, i at home there, with a cosine of `least` or more, each pair once.
+
+    Rows are sorted by group, homes first. Pairs come in lots of about PAIRS, so that a
+    cell whose rows all link is never held as a list of pairs.
+    """
     norm = np.sqrt((vectors * vectors).sum(axis=1))
-    step = max(1, AT_ONCE // max(1, len(ids)))
-    for at in range(0, len(ids), step):
-        cosine = (vectors[at : at + step] @ vectors.T) / (norm[at : at + step, None] * norm[None, :])
-        i, j = np.nonzero(cosine >= least)
-        i += at
-        near = ids[i] < ids[j]
-        if side.any():
-            near &= (side[i] == 0) | (side[i] != side[j])
-        i, j = i[near], j[near]
-        # Here means at this cell: as the home of the smaller class, else of the larger one.
-        by_first = _meet(where[i, table], where[j, table])
-        here = np.where(by_first, where[i, table, 0], where[j, table, 0]) == cell
-        here &= by_first | _meet(where[j, table], where[i, table])
-        i, j = i[here], j[here]
-        for t in range(table):
-            new = ~(_meet(where[i, t], where[j, t]) | _meet(where[j, t], where[i, t]))
-            i, j = i[new], j[new]
-        yield i, j
+    edges = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1, [len(group)]))
+    homes = np.add.reduceat(home.astype(np.int64), edges[:-1])
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    held = 0
+
+    def lot() -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.concatenate(left), np.concatenate(right)
+        apart = (i != j) & ((side[i] == 0) | (side[i] != side[j])) & ~(home[j] & (i > j))
+        i, j = i[apart], j[apart]
+        near = (vectors[i] * vectors[j]).sum(axis=1) / (norm[i] * norm[j]) >= least
+        return i[near], j[near]
+
+    for a, b, k in zip(edges[:-1].tolist(), edges[1:].tolist(), homes.tolist()):
+        if not k or b - a < 2:
+            continue
+        step = max(1, AT_ONCE // (b - a))
+        for at in range(a, a + k, step):
+            end = min(a + k, at + step)
+            i, j = np.nonzero(vectors[at:end] @ vectors[a:b].T >= (least - 1e-9) * norm[at:end, None] * norm[None, a:b])
+            left.append(i + at)
+            right.append(j + a)
+            held += len(i)
+            if held >= PAIRS:
+                yield lot()
+                left, right, held = [], [], 0
+    if left:
+        yield lot()
+
+
+def _summed(who: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names and the sums of their numbers, which are exact below 2^53."""
+    names, at = np.unique(who, return_inverse=True)
+    return names, np.bincount(at, n, len(names)).astype(np.int64)
+
+
+def first_met(cell: np.ndarray, table: np.ndarray, ids: np.ndarray, vectors: np.ndarray, i: np.ndarray, j: np.ndarray, tables: int, probes: int) -> np.ndarray:
+    """Which of the pairs (i, j) are met at their cell for the first time: not in a smaller table,
+    and in this one as the home of the smaller id, or of the larger if that cell isn't one of the other's."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    _, one = np.unique(ids[used], return_index=True)
+    name = np.searchsorted(ids[used][one], ids[used])
+    where = cells(vectors[used[one]], tables, probes)
+    x, y = name[at[: len(i)]], name[at[len(i) :]]
+    x, y = np.where(ids[i] < ids[j], x, y), np.where(ids[i] < ids[j], y, x)
+    t = table[i]
+    by_first = _meet(where[x, t], where[y, t])
+    new = np.where(by_first, where[x, t, 0], where[y, t, 0]) == cell[i]
+    for earlier in range(tables):
+        before = _meet(where[x, earlier], where[y, earlier]) | _meet(where[y, earlier], where[x, earlier])
+        new &= ~(before & (earlier < t))
+    return new
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -147,48 +186,46 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
                     k, m = tables * (1 + probes), len(own)
                     again = pa.array(np.repeat(np.arange(m), k))
                     table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), m)
+                    home = np.tile(np.arange(1 + probes) == 0, m * tables)
                     short = own_vectors.astype(np.float32)
                     exact = bool((short == own_vectors).all())
                     blobs = pa.array([b"f" + v.tobytes() for v in short] if exact else [b"d" + v.tobytes() for v in own_vectors], pa.binary())
-                    yield pa.RecordBatch.from_arrays([held.column(1).take(again), pa.array(where.reshape(-1)), pa.array(table), held.column(0).take(again), held.column(3).take(again), blobs.take(again)], ["label", "cell", "tab", "class", "n", "v"])
+                    yield pa.RecordBatch.from_arrays([held.column(1).take(again), pa.array(where.reshape(-1)), pa.array(table), pa.array(home), held.column(0).take(again), held.column(3).take(again), blobs.take(again)], ["label", "cell", "tab", "home", "class", "n", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cell, table, ids, n, blob, side in _runs(batches, 100_000):
-            edges = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
+        for key, cell, table, home, ids, n, blob, side in _runs(batches, READ):
             links, counts = [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if b - a < 2:
-                    continue
-                groups: dict[tuple, list[int]] = {}
-                for r in range(a, b):  # a hash may hold several cells and sizes
-                    size = (len(blob[r]) - 1) // (4 if blob[r][:1] == b"f" else 8)
-                    groups.setdefault((cell[r], table[r], size), []).append(r)
-                for (c, t, _), own in groups.items():
-                    if len(own) < 2:
-                        continue
-                    own_vectors = np.stack([np.frombuffer(x, "<f4" if x[:1] == b"f" else "<f8", offset=1).astype(np.float64) for x in blob[own]])
-                    for i, j in links_of_cell(c, t, ids[own], own_vectors, cells(own_vectors, tables, probes), side[own], least):
-                        if len(i):
-                            links.append((ids[own][i], ids[own][j]))
-                            counts += [(ids[own][i], n[own][j]), (ids[own][j], n[own][i])]
-            if not links:
+            # A hash may hold several cells, and a cell vectors of several lengths.
+            size = np.fromiter(((len(x) - 1) // (4 if x[:1] == b"f" else 8) for x in blob), np.int64, len(blob))
+            for d in np.unique(size).tolist():
+                own = np.nonzero(size == d)[0]
+                own = own[np.lexsort((~home[own], table[own], cell[own], key[own]))]
+                vectors = np.stack([np.frombuffer(x, "<f4" if x[:1] == b"f" else "<f8", offset=1).astype(np.float64) for x in blob[own].tolist()])
+                group = np.cumsum(np.concatenate(([True], (np.diff(key[own]) != 0) | (np.diff(cell[own]) != 0) | (np.diff(table[own]) != 0))))
+                for i, j in close_pairs(group, home[own], side[own], vectors, least):
+                    if len(i):
+                        new = first_met(cell[own], table[own], ids[own], vectors, i, j, tables, probes)
+                        i, j = own[i[new]], own[j[new]]
+                        links.append(forest(ids[i], ids[j]))
+                        counts.append(_summed(np.concatenate([ids[i], ids[j]]), np.concatenate([n[j], n[i]])))
+            if not sum(len(a) for a, _ in links):
                 continue
-            x, y = forest(np.concatenate([p[0] for p in links]), np.concatenate([p[1] for p in links]))
-            who, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([c[1] for c in counts])).astype(np.int64)
+            x, y = forest(*(np.concatenate(c) for c in zip(*links)))
+            who, total = _summed(*(np.concatenate(c) for c in zip(*counts)))
             # Links (a, b, null) and counts (a, null, number).
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, who])), pa.array([*y.tolist(), *[None] * len(who)], pa.int64()), pa.array([*[None] * len(x), *total.tolist()], pa.int64())], ["a", "b", "n"])
 
-    placed = classes.select("class", "label", "v", "n").mapInArrow(place, "label string, cell bigint, tab int, class bigint, n bigint, v binary")
+    placed = classes.select("class", "label", "v", "n").mapInArrow(frugal(place), "label string, cell bigint, tab int, home boolean, class bigint, n bigint, v binary")
     placed = placed.withColumn("cell_of", F.xxhash64("label", "cell", "tab"))
-    dealt = deal_out(placed, "cell_of", "class", HOT).select("key", "cell", "tab", "class", "n", "v", "side")
-    found = cut(dealt.mapInArrow(compare, "a bigint, b bigint, n bigint"))
+    dealt = deal_out(placed, "cell_of", "class", HOT).select("key", "cell", "tab", "home", "class", "n", "v", "side")
+    found = cut(dealt.mapInArrow(frugal(compare), "a bigint, b bigint, n bigint"))
     roots = connected(found.where("b is not null").select("a", "b"))
     others = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     named = classes.select("class", "label", "v", "least_id", "n").join(roots, F.col("class") == F.col("node"), "left").join(others, F.col("class") == F.col("a"), "left")
     named = named.select("class", "label", "v", "least_id", F.coalesce("root", "class").alias("root"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     components = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(components, "root").select("class", "n_links", "component_id")
-    result = rows.withColumn("class", F.when(F.col("sound"), F.xxhash64("label", "v"))).select("id", "class").join(named, "class", "left")
+    named = spread_join(named.select("root", "class", "n_links"), components, "root").select("class", "n_links", "component_id")
+    sound_rows = rows.where("sound").select(F.xxhash64("label", "v").alias("class"), "id")
+    result = spread_join(sound_rows, named, "class").select("id", "n_links", "component_id").unionByName(rows.where("not sound").select("id", F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id")))
     component = F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return result.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
