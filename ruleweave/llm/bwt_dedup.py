@@ -4,24 +4,30 @@ A byte goes if a string of `length` bytes covers it that also starts in a
 document with a smaller id. Work is dealt out so that equal strings meet:
 
 1. runs: the hash minimum of the k-mers inside each string is a value of the
-   string alone. Consecutive strings of one minimum form a run, a fragment of 84
-   bytes at most. Runs go to the bucket of their minimum.
-2. match: minima of one document are dropped, which is most of the text. Where
-   all fragments of a minimum are equal, the answer is the smallest document.
-   Else the distinct fragments are asked for, once each.
+   string alone. Consecutive strings of one minimum form a run, whose bytes are a
+   fragment. Runs go to the bucket of their minimum. A fragment that is very
+   common in one task goes once for its smallest documents; the others, equal in
+   all bytes, lose theirs at once, so no minimum brings a row a document.
+2. match: minima of one document are dropped, which is most of the text. Of the
+   others, each distinct fragment is asked for once a shard, where the shard is a
+   hash of the document.
 3. cut_out: the documents give the bytes of those fragments.
-4. merge: the fragments of a bucket are put into shards, each with its own
-   Burrows-Wheeler transform (rotations sorted to depth `length`). An interleave
+4. merge: a unit, the fragments of a few minima, has a Burrows-Wheeler transform
+   per shard (rotations sorted to depth `length`, each alone). An interleave
    vector says which shard owns each slot of the merged order. It is refined
    from depth to depth by a stable sort on the symbols that stand before the
-   slots; two neighbours that differ in symbol or block open a new block at that
-   depth, which bounds their common prefix. At depth `length`, blocks are the
-   repeated intervals. No suffix is sorted again.
-5. apply: spans meet their documents.
+   slots; a slot that differs from its neighbour in symbol, or did before, opens
+   a block, and the depth at which it does bounds their common prefix. Slots with
+   common prefixes of `length` are the repeated intervals. No suffix is sorted
+   again.
+5. apply: spans meet their documents. A span carries a digest of the bytes that
+   the merge saw; bytes that differ from it are an error, so nothing goes on the
+   word of a hash alone.
 
 Rows between the steps are blobs of packed columns keyed by bucket, so a shuffle
-moves about 16 bytes a run. Symbols are groups of 4, 3 or 2 bytes (what gives
-65,536 different ones at most), so a refinement is one radix pass.
+moves about 16 bytes a run. Symbols are groups of as many bytes as fit 63 bits
+in the unit's own alphabet, ranked (65,536 at most in a unit of usual size), so
+a refinement is one radix pass.
 """
 
 from __future__ import annotations
@@ -32,13 +38,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ruleweave.llm.common import cut, frugal, tidy
 
-#: Bytes of a k-mer; strings of a run at most; bytes of a shard; text per bucket; bytes hashed at once, and packed at once.
-K, RUN, SHARD, BUCKET_BYTES, BLOCK_BYTES, PACK_BYTES = 16, 35, 1 << 18, 2 << 20, 2 << 20, 8 << 20
+#: Bytes of a k-mer; shards of a unit; rotations of a unit; bytes of a symbol; text per bucket; bytes hashed at once, whose runs go out at once, and packed at once.
+K, SHARDS, UNIT, STEP, BUCKET_BYTES, BLOCK_BYTES, OUT_BYTES, PACK_BYTES = 16, 2, 60_000, 10, 2 << 20, 2 << 20, 16 << 20, 8 << 20
+#: Documents of a block with a fragment from which it is common, common fragments that a task remembers, occurrences handled at once.
+COMMON, REMEMBERED, AT_ONCE = 16, 100_000, 200_000
 #: Odd multipliers of the k-mer hash.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 ROWS = "bucket int, kind int, blob binary"
@@ -141,36 +151,60 @@ def runs(text: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     edges = np.nonzero(change)[0]
     start, stop = edges[:-1], edges[1:]
     start, stop = start[valid[start]], stop[valid[start]]
-    if len(start) and (stop - start).max() > RUN:
-        times = -(-(stop - start) // RUN)
+    if len(start) and (stop - start).max() > width:
+        times = -(-(stop - start) // width)
         place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        start, stop = np.repeat(start, times) + place * RUN, np.repeat(stop, times)
-        stop = np.minimum(stop, start + RUN)
+        start, stop = np.repeat(start, times) + place * width, np.repeat(stop, times)
+        stop = np.minimum(stop, start + width)
     document = np.searchsorted(ends, start, side="right")
     strings = stop - start
-    end = stop + length - 1
+    whole = _fragment_hashes(hashes, start, strings, length)
+    return least[start], whole, document, start - (ends - sizes)[document], strings
+
+
+def _fragment_hashes(hashes: np.ndarray, start: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
+    """A hash of all bytes of fragments, by the k-mers that cover them."""
+    end = start + strings + length - 1
     whole = hashes[start] * MIX[4] + strings.astype(np.uint64)
-    for i, at in enumerate([start + K, start + 2 * K, end - 3 * K, end - 2 * K, end - K]):
+    width = length - K + 1
+    for i in range(1, -(-(length + width - 1) // K)):
         whole ^= whole >> np.uint64(29)
-        whole = (whole + hashes[at]) * MIX[i]
-    return least[start], whole, document, start - (ends - sizes)[document], strings
+        whole = (whole + hashes[np.minimum(start + i * K, end - K)]) * MIX[i % 5]
+    return whole
+
+
+def fragment_hash(fragment: bytes, length: int) -> int:
+    """The hash of one fragment, signed."""
+    return int(_fragment_hashes(kmer_hashes(fragment), np.array([0]), np.array([len(fragment) - length + 1]), length).view(np.int64)[0])
+
+
+def _repeated_ids(blobs: list[bytes]) -> set[int]:
+    """Ids that stand more than once in a bucket's texts."""
+    heads = [unpack(blob[4 : 4 + struct.unpack_from("<I", blob)[0]])[0] for blob in blobs]
+    names, times = np.unique(np.concatenate(heads), return_counts=True)
+    return set(names[times > 1].tolist())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Rows of about limit bytes of text (the second column) each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(ids, texts) of about limit bytes each."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= limit:
-                    yield np.array(ids, np.int64), texts
-                    ids, texts, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), texts
+    for block in _blocks(batches, limit):
+        yield np.array(block.column(0).to_pylist(), np.int64), block.column(1).to_pylist()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
@@ -219,15 +253,6 @@ def unpack_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     return ids, sizes, pa.decompress(blob[4 + head :], decompressed_size=total, codec="zstd", asbytes=True) if total else b""
 
 
-def symbols(text: np.ndarray, after: np.ndarray, step: int) -> np.ndarray:
-    """The number of the `step` symbols from each place on."""
-    code, at = text.astype(np.int64), after
-    for _ in range(step - 1):
-        code = code * 257 + text[at]
-        at = after[at]
-    return code
-
-
 class Shard:
     """Rotations of fragments, sorted to a depth, with what stands before each."""
 
@@ -235,9 +260,9 @@ class Shard:
         self.order, self.before = order, before
 
 
-def transform(code: dict[int, np.ndarray], back: dict[int, np.ndarray], steps: list[int], first: int, last: int) -> Shard:
-    """Sort the rotations at places first to last and keep, in that order, the symbols that precede them."""
-    order = np.arange(first, last, dtype=np.int32)
+def transform(code: dict[int, np.ndarray], back: dict[int, np.ndarray], steps: list[int], places: np.ndarray) -> Shard:
+    """Sort the rotations at some places and keep, in that order, the symbols that precede them."""
+    order = places
     for step in steps:
         order = back[step][order]
         order = order[np.argsort(code[step][order], kind="stable")]
@@ -245,41 +270,71 @@ def transform(code: dict[int, np.ndarray], back: dict[int, np.ndarray], steps: l
 
 
 def merge(shards: list[Shard], steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(places in merged order, block of each slot): slots of one block share the whole depth."""
-    sizes = [len(s.order) for s in shards]
-    owner = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
+    """(places in merged order, bytes each slot is known to share with the one before it).
+
+    These common prefixes are exact to a step, and exact where steps are one byte.
+    """
+    owner = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
     n = len(owner)
-    block = np.zeros(n, np.int32)
+    block, common, depth = np.zeros(n, np.int32), np.full(n, sum(steps), np.int32), 0
 
     def read(columns: list[np.ndarray]) -> np.ndarray:
         """What each slot takes from its shard, in the shard's order."""
         if len(columns) == 1:
             return columns[0]
         out = np.empty(n, columns[0].dtype)
-        for k, column in enumerate(columns):
-            out[owner == k] = column
+        out[np.argsort(owner, kind="stable")] = np.concatenate(columns)
         return out
 
     for step in steps:
         symbol = read([s.before[step] for s in shards])
         moved = np.argsort(symbol, kind="stable")
-        symbol, block = symbol[moved], block[moved]
-        if len(shards) > 1:
-            owner = owner[moved]
-        opens = np.zeros(n, bool)
+        symbol, block, owner = symbol[moved], block[moved], owner[moved]
+        opens = np.ones(n, bool)
         np.not_equal(symbol[1:], symbol[:-1], out=opens[1:])
         opens[1:] |= block[1:] != block[:-1]
+        np.minimum(common, depth, out=common, where=opens)
         block = np.cumsum(opens, dtype=np.int32)
-    return read([s.order for s in shards]), block
+        depth += step
+    return read([s.order for s in shards]), common
+
+
+def _steps(length: int, widest: int) -> list[int]:
+    """length as a sum of nearly equal steps of `widest` at most."""
+    times = -(-length // max(1, widest))
+    return [length // times + (k < length % times) for k in range(times)]
+
+
+def _codes(text: np.ndarray, after: np.ndarray, step: int, bits: int) -> np.ndarray:
+    """Ranks of the groups of `step` symbols from each place on."""
+
+    def packed(of: np.ndarray, times: int, wide: int, hop: np.ndarray) -> np.ndarray:
+        code, at = of, hop
+        for _ in range(times - 1):
+            code = (code << wide) | of[at]
+            at = hop[at]
+        return code
+
+    if step % 2 == 0 and step * bits > 63:  # ranks of halves, then of pairs of these
+        halves = np.unique(packed(text, step // 2, bits, after), return_inverse=True)[1]
+        hop = after
+        for _ in range(step // 2 - 1):
+            hop = after[hop]
+        code = packed(halves, 2, 31, hop)
+    else:
+        code = packed(text, step, bits, after)
+    if step > 1:
+        code = np.unique(code, return_inverse=True)[1]
+    return code.astype(np.uint16 if not len(code) or code.max() < 65_536 else np.int64)
 
 
 def may_share(fragments: list[bytes]) -> np.ndarray:
-    """Which fragments may hold a string that another holds; the others hold none.
+    """Which fragments of runs may hold a string that another holds; the others hold none.
 
-    A string of 50 bytes holds its minimum and 17 bytes or more on one side of it.
-    So two fragments that share one agree in the minimum and in the K bytes before
-    it or the K after it. Fragments that hold their minimum twice, and all others of
-    that minimum, are kept unseen.
+    A string of 3 * K bytes or more holds its minimum and K bytes or more on one
+    side of it. So two fragments that share one agree in the minimum and in the K
+    bytes before it or the K after it. Fragments that hold their minimum twice, and
+    all others of that minimum, are kept unseen.
     """
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
     first = np.cumsum(sizes) - sizes
@@ -304,254 +359,436 @@ def may_share(fragments: list[bytes]) -> np.ndarray:
     return keep
 
 
-def least_documents(fragments: list[bytes], documents: np.ndarray, length: int, shard_bytes: int = SHARD, runs_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def least_documents(fragments: list[bytes], documents: np.ndarray, length: int, shard: np.ndarray | None = None, widest: int = 63, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each string of each fragment, the smallest document of any fragment that holds it.
 
-    Returns (place of each fragment's first string, value by place). With
-    runs_only, the fragments are runs, whose strings all hold one minimum, and
-    may_share leaves out what can't matter.
+    Returns (place of each fragment's first string, value by place). `shard` says
+    which transform a fragment goes into; `seen` counts what was merged.
     """
-    sizes = np.fromiter(map(len, fragments), np.int64, len(fragments)) + 1
-    first = np.cumsum(sizes) - sizes
-    least = np.repeat(documents, sizes)
-    kept = np.nonzero(may_share(fragments))[0] if runs_only else np.arange(len(fragments))
-    if len(kept):
-        own, found = _by_transform([fragments[i] for i in kept.tolist()], documents[kept], length, shard_bytes)
-        times = sizes[kept]
-        at = np.arange(times.sum()) - np.repeat(own - first[kept], times)
-        least[at] = found
-    return first, least
-
-
-def _by_transform(fragments: list[bytes], documents: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments)) + 1
     first = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
-    text = np.zeros(n, np.int64)
+    owner = np.repeat(np.arange(len(fragments)), sizes)
     inside = np.ones(n, bool)
     inside[first + sizes - 1] = False
-    text[inside] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
+    text = np.zeros(n, np.int64)
+    letters, text[inside] = np.unique(np.frombuffer(b"".join(fragments), np.uint8), return_inverse=True)
+    text[inside] += 1
+    bits = len(letters).bit_length()
+    steps = _steps(length, min(widest, STEP) if n <= 65_536 else max(1, min(widest, 16 // bits)))
     after, back1 = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[first + sizes - 1], back1[first] = first, first + sizes - 1
-    for step in (4, 3, 2):
-        numbered, code4 = np.unique(symbols(text, after, step), return_inverse=True)
-        if len(numbered) <= 65_536:
-            break
-    rest = length % step
-    steps = [rest] * bool(rest) + [step] * (length // step)
     code, back = {}, {}
     for s in set(steps):
         back[s] = back1
         for _ in range(s - 1):
             back[s] = back1[back[s]]
-        code[s] = (code4 if s == step and len(numbered) <= 65_536 else np.unique(symbols(text, after, s), return_inverse=True)[1]).astype(np.uint16 if len(numbered) <= 65_536 else np.int64)
-    cuts = np.unique(np.searchsorted(first, np.arange(0, n, shard_bytes)))
-    places = [*first[cuts[cuts < len(first)]].tolist(), n]
-    order, block = merge([transform(code, back, steps, a, b) for a, b in zip(places[:-1], places[1:])], steps)
-    owner = np.repeat(np.arange(len(fragments)), sizes)
+        code[s] = _codes(text, after, s, bits)
+    of = np.zeros(n, np.int64) if shard is None else shard[owner]
+    shards = [transform(code, back, steps, np.nonzero(of == k)[0].astype(np.int32)) for k in np.unique(of).tolist()]
+    order, common = merge(shards, steps)
+    if seen is not None:
+        seen["shards"] = max(seen.get("shards", 0), len(shards))
+        seen["merged"] = seen.get("merged", 0) + (len(shards) > 1)
     value = np.where(np.arange(n) + length < (first + sizes)[owner], documents[owner], np.iinfo(np.int64).max)[order]
-    begin = np.concatenate(([0], np.nonzero(np.diff(block))[0] + 1))
+    common[:1] = 0
+    begin = np.nonzero(common < length)[0]
     least = np.empty(n, np.int64)
     least[order] = np.repeat(np.minimum.reduceat(value, begin), np.diff(np.concatenate((begin, [n]))))
     return first, least
 
 
+def digest(text: bytes) -> int:
+    """64 bits of BLAKE2, signed."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _settle_common(text: bytes, ids: np.ndarray, sizes: np.ndarray, whole: np.ndarray, document: np.ndarray, start: np.ndarray, strings: np.ndarray, length: int, known: dict[bytes, int], names: set[int]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(runs to go on, spans of the others): runs whose fragment is common and stands, byte by byte, in a smaller document of this task."""
+    _, at, times = np.unique(whole, return_inverse=True, return_counts=True)
+    often = times[at] >= COMMON
+    if names:
+        often |= np.isin(whole, np.fromiter(names, np.uint64, len(names)))
+    keep, spans = np.ones(len(whole), bool), []
+    rows = np.nonzero(often)[0]
+    if len(rows):
+        offset = np.cumsum(sizes) - sizes
+        own = ids[document[rows]]
+        for r in rows[np.argsort(own, kind="stable")].tolist():
+            begin = int(offset[document[r]] + start[r])
+            key, doc = text[begin : begin + int(strings[r]) + length - 1], int(ids[document[r]])
+            least = known.get(key)
+            if least is not None and least < doc:
+                keep[r] = False
+                spans.append((doc, int(start[r]), int(strings[r]), digest(key)))
+            elif least is not None or len(known) < REMEMBERED:
+                known[key] = doc
+                names.add(int(whole[r]))
+    return keep, spans
+
+
 def _find_runs(length: int, buckets: int) -> Callable:
     shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _documents(batches, BLOCK_BYTES):
-            least, whole, document, start, strings = runs(b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts)), length)
+        known: dict[bytes, int] = {}
+        names: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        settled: list[tuple[int, int, int, int]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            least, whole, document, start, strings = (np.concatenate(c) for c in zip(*held))
             least *= MIX[4]  # minima are small numbers: spread them evenly
             least ^= least >> np.uint64(31)
             least *= MIX[5]
             bucket = (least >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(least), np.int64)
             short = ((least << (np.uint64(64) - shift)) >> np.uint64(32)).astype(np.int64) if buckets > 1 else (least >> np.uint64(32)).astype(np.int64)
             order = np.argsort(short, kind="stable")
-            yield _rows(_dealt(bucket[order], SEEN, short[order], whole.view(np.int64)[order], ids[document[order]], start[order], strings[order]))
+            found = _dealt(bucket[order], SEEN, short[order], whole.view(np.int64)[order], document[order], start[order], strings[order])
+            gone = np.array(settled, np.int64).reshape(-1, 4)
+            found += _dealt(doc_bucket(gone[:, 0].copy(), buckets), SPANS, *gone.T)
+            held.clear()
+            settled.clear()
+            return _rows(found)
+
+        for ids, texts in _documents(batches, BLOCK_BYTES):
+            text, sizes = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+            least, whole, document, start, strings = runs(text, sizes, length)
+            keep, spans = _settle_common(text, ids, sizes, whole, document, start, strings, length, known, names)
+            settled += spans
+            held.append((least[keep], whole[keep], ids[document[keep]], start[keep], strings[keep]))
+            size += len(text)
+            if size >= OUT_BYTES:
+                yield out()
+                size = 0
+        if held:
+            yield out()
 
     return run
 
 
 def _match(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def asked() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*wanted)]
+            wanted.clear()
+            return _rows(_dealt(doc_bucket(columns[0], buckets), WANTED, *columns))
+
         for bucket, blobs in _grouped(batches):
-            least, whole, document, start, strings = _columns(blobs[SEEN])
-            order = np.argsort(least, kind="stable")
-            least, whole, document, start, strings = (c[order] for c in (least, whole, document, start, strings))
-            begin = np.concatenate(([0], np.nonzero(np.diff(least))[0] + 1))
-            times = np.diff(np.concatenate((begin, [len(least)])))
-            low = np.minimum.reduceat(document, begin)
-            several = low < np.maximum.reduceat(document, begin)
-            equal = np.minimum.reduceat(whole, begin) == np.maximum.reduceat(whole, begin)
-            gone = np.repeat(several & equal, times) & (document > np.repeat(low, times))
-            found = _dealt(doc_bucket(document[gone], buckets), SPANS, document[gone], start[gone], strings[gone])
-            mixed = np.repeat(several & ~equal, times)
-            whole, document, start, strings = (c[mixed] for c in (whole, document, start, strings))
-            if len(whole):
-                found.append((bucket, SEEN, pack(whole, document, start, strings)))
-                _, one = np.unique(whole, return_index=True)
-                found += _dealt(doc_bucket(document[one], buckets), WANTED, document[one], start[one], strings[one], np.full(len(one), bucket), whole[one])
+            found = [(bucket, SPANS, blob) for blob in blobs.get(SPANS, [])]
+            if SEEN in blobs:
+                least, whole, document, start, strings = _columns(blobs.pop(SEEN))
+                order = np.lexsort((whole, least))
+                least, whole, document, start, strings = (c[order] for c in (least, whole, document, start, strings))
+                begin = np.concatenate(([0], np.nonzero(np.diff(least))[0] + 1))
+                times = np.diff(np.concatenate((begin, [len(least)])))
+                several = np.repeat(np.minimum.reduceat(document, begin) < np.maximum.reduceat(document, begin), times)
+                least, whole, document, start, strings = (c[several] for c in (least, whole, document, start, strings))
+                if len(whole):
+                    group = np.cumsum(_changes(least)) - 1
+                    rank = np.cumsum(_changes(least, whole)) - 1
+                    found.append((bucket, SEEN, pack(rank, document, start, strings)))
+                    shard = doc_bucket(document, SHARDS)
+                    order = np.lexsort((document, shard, rank))
+                    one = order[_changes(rank[order], shard[order])]
+                    wanted.append((document[one], start[one], strings[one], np.full(len(one), bucket), group[one], rank[one], whole[one] & 0xFFFFFFFF))
+                    held += len(one)
             if found:
                 yield _rows(found)
+            if held >= AT_ONCE:
+                yield asked()
+                held = 0
+        if wanted:
+            yield asked()
 
     return run
 
 
 def _pack_documents(buckets: int) -> Callable:
+    """Texts by bucket, and with them, as Arrow data, what further columns their rows have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _documents(batches, PACK_BYTES):
+        for block in _blocks(batches, PACK_BYTES):
+            ids, texts = np.array(block.column(0).to_pylist(), np.int64), block.column(1).to_pylist()
+            others = block.select(range(2, block.num_columns))
             bucket = doc_bucket(ids, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.concatenate(([0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)]))
-            yield _rows([(int(bucket[order[a]]), TEXTS, pack_texts(ids[order[a:b]], [texts[i] for i in order[a:b].tolist()])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())])
+            found = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = order[a:b]
+                more = b""
+                if others.num_columns:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, others.schema) as writer:
+                        writer.write_table(others.take(pa.array(own)).combine_chunks())
+                    more = sink.getvalue().to_pybytes()
+                found.append((int(bucket[own[0]]), TEXTS, struct.pack("<I", len(more)) + more + pack_texts(ids[own], [texts[i] for i in own.tolist()])))
+            yield _rows(found)
 
     return run
 
 
+def _texts_of(blobs: list[bytes]) -> list[bytes]:
+    """The texts of packed documents, without their further columns."""
+    return [blob[4 + struct.unpack_from("<I", blob)[0] :] for blob in blobs]
+
+
 def _cut_out(length: int) -> Callable:
     def run(_: int, blobs: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if WANTED in blobs and TEXTS in blobs:
-            document, start, strings, target, whole = _columns(blobs[WANTED])
-            order = np.argsort(document, kind="stable")
-            document, start, strings, target, whole = (c[order] for c in (document, start, strings, target, whole))
-            pieces: dict[int, list] = {}
-            for blob in blobs[TEXTS]:
+            wanted = _columns(blobs[WANTED])
+            order = np.argsort(wanted[0], kind="stable")
+            document, start, strings, target, group, rank, check = (c[order] for c in wanted)
+            texts_of = _texts_of(blobs[TEXTS])
+            rows, pieces, repeated = [], [], _repeated_ids(texts_of)
+            for blob in texts_of:
                 ids, sizes, text = unpack_texts(blob)
                 offset = np.cumsum(sizes) - sizes
                 low, high = np.searchsorted(document, ids), np.searchsorted(document, ids, side="right")
                 for i in np.nonzero(high > low)[0].tolist():
                     own = slice(int(low[i]), int(high[i]))
-                    for s, k, t, w in zip((start[own] + offset[i]).tolist(), strings[own].tolist(), target[own].tolist(), whole[own].tolist()):
-                        pieces.setdefault(t, []).append((w, text[s : s + k + length - 1]))
-            found = []
-            for t, own in pieces.items():
-                texts = [p for _, p in own]
-                found.append((t, PIECES, pack_texts(np.array([w for w, _ in own], np.int64), texts)))
-            if found:
+                    texts = [text[s : s + k + length - 1] for s, k in zip((start[own] + offset[i]).tolist(), strings[own].tolist())]
+                    held = np.arange(own.start, own.stop)
+                    if ids[i] in repeated:  # another row of this id may have other bytes there
+                        same = [j for j, t in enumerate(texts) if len(t) >= length and fragment_hash(t, length) & 0xFFFFFFFF == check[own][j]]
+                        held, texts = held[same], [texts[j] for j in same]
+                    rows.append(held)
+                    pieces += texts
+            if pieces:
+                row = np.concatenate(rows)
+                order = np.lexsort((rank[row], target[row]))
+                row = row[order]
+                edges = np.concatenate(([0], np.nonzero(np.diff(target[row]))[0] + 1, [len(row)]))
+                found = []
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    own = row[a:b]
+                    columns = pack(group[own], document[own])
+                    found.append((int(target[own[0]]), PIECES, struct.pack("<I", len(columns)) + columns + pack_texts(rank[own], [pieces[i] for i in order[a:b].tolist()])))
                 yield _rows(found)
 
     return run
 
 
-def _merge_bucket(length: int, buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _grouped(batches):
-            if SEEN not in blobs or PIECES not in blobs:
-                continue
-            whole, document, start, strings = _columns(blobs[SEEN])
-            names, texts = [], []
-            for blob in blobs[PIECES]:
-                ids, sizes, text = unpack_texts(blob)
-                ends = np.cumsum(sizes).tolist()
-                names.append(ids)
-                texts += [text[a:b] for a, b in zip([0, *ends], ends)]
-            names, one = np.unique(np.concatenate(names), return_index=True)
-            fragments = [texts[i] for i in one.tolist()]
-            which = np.searchsorted(names, whole)
-            smallest = np.full(len(names), np.iinfo(np.int64).max)
-            np.minimum.at(smallest, which, document)
-            first, least = least_documents(fragments, smallest, length, runs_only=True)
-            # Strings of all occurrences, end to end; runs of those that go.
-            at = np.repeat(first[which] - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
-            goes = least[at] < np.repeat(document, strings)
+def _pieces(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(group, rank of the fragment, document, bytes) of the pieces of a bucket, sorted by rank, which goes with the group."""
+    columns, texts = [], []
+    for blob in blobs:
+        (size,) = struct.unpack_from("<I", blob)
+        names, sizes, text = unpack_texts(blob[4 + size :])
+        columns.append([*unpack(blob[4 : 4 + size]), names])
+        ends = np.cumsum(sizes).tolist()
+        texts += [text[a:b] for a, b in zip([0, *ends], ends)]
+    group, document, rank = (np.concatenate(c) for c in zip(*columns))
+    order = np.lexsort((document, rank))
+    return group[order], rank[order], document[order], [texts[i] for i in order.tolist()]
+
+
+def _units(group: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of whole groups of about `limit` rotations; one group may be more."""
+    edges = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1, [len(group)])).tolist()
+    total = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    start = 0
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a > start and total[b] - total[start] > limit:
+            yield start, a
+            start = a
+    if len(group) > start:
+        yield start, len(group)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted table's rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([np.diff(c) != 0 for c in columns], axis=0)
+    return out
+
+
+def spans_of_bucket(pieces: tuple, occurrences: list[np.ndarray], length: int, seen: dict | None = None) -> Iterator[list[np.ndarray]]:
+    """(document, start, strings, digest) of the spans that go, unit by unit.
+
+    pieces: see _pieces. occurrences: rank of the fragment, document, start and strings of every run.
+    """
+    group, rank, document, texts = pieces
+    if not len(texts):
+        return
+    order = np.argsort(occurrences[0], kind="stable")
+    o_rank, o_document, o_start, o_strings = (c[order] for c in occurrences)
+    if not np.array_equal(np.unique(o_rank), np.unique(rank)):
+        raise ValueError("a run has no fragment")
+    if length >= 3 * K:  # a fragment stays if several documents hold it, or it may share a string with another
+        begin = np.nonzero(_changes(o_rank))[0]
+        told = np.zeros(o_rank[-1] + 1, bool)
+        told[o_rank[begin]] = np.minimum.reduceat(o_document, begin) < np.maximum.reduceat(o_document, begin)
+        told[rank[may_share(texts)]] = True
+        own, kept = np.nonzero(told[o_rank])[0], np.nonzero(told[rank])[0]
+        o_rank, o_document, o_start, o_strings = o_rank[own], o_document[own], o_start[own], o_strings[own]
+        group, rank, document, texts = group[kept], rank[kept], document[kept], [texts[i] for i in kept.tolist()]
+    for u, v in _units(group, np.fromiter(map(len, texts), np.int64, len(texts)) + 1, UNIT):
+        fragments = texts[u:v]
+        first, least = least_documents(fragments, document[u:v], length, doc_bucket(document[u:v], SHARDS), seen=seen)
+        # The first piece of each distinct fragment stands for all its runs.
+        names, one = np.unique(rank[u:v], return_index=True)
+        low, high = np.searchsorted(o_rank, names[0]), np.searchsorted(o_rank, names[-1], side="right")
+        proofs: dict[tuple[int, int, int], int] = {}
+        for at in range(low, high, AT_ONCE):
+            part = slice(at, min(high, at + AT_ONCE))
+            which = one[np.searchsorted(names, o_rank[part])]
+            doc, start, strings = o_document[part], o_start[part], o_strings[part]
             begins = np.cumsum(strings) - strings
-            opens = goes.copy()
+            goes = least[np.repeat(first[which] - begins, strings) + np.arange(strings.sum())] < np.repeat(doc, strings)
+            opens, closes = goes.copy(), goes.copy()
             opens[1:] &= ~goes[:-1]
             opens[begins] = goes[begins]
-            closes = goes.copy()
             closes[:-1] &= ~goes[1:]
             closes[begins + strings - 1] = goes[begins + strings - 1]
             a, b = np.nonzero(opens)[0], np.nonzero(closes)[0]
             row = np.searchsorted(begins, a, side="right") - 1
+            begin, size = a - begins[row], b - a + 1
+            proof = np.empty(len(a), np.int64)
+            for i, spot in enumerate(zip(which[row].tolist(), begin.tolist(), size.tolist())):
+                if spot not in proofs:
+                    proofs[spot] = digest(fragments[spot[0]][spot[1] : spot[1] + spot[2] + length - 1])
+                proof[i] = proofs[spot]
             if len(a):
-                yield _rows(_dealt(doc_bucket(document[row], buckets), SPANS, document[row], start[row] + a - begins[row], b - a + 1))
+                yield [doc[row], start[row] + begin, size, proof]
+
+
+def _merge_bucket(length: int, buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            spans = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            return _rows(_dealt(doc_bucket(spans[0], buckets), SPANS, *spans))
+
+        for _, blobs in _grouped(batches):
+            if SEEN in blobs and PIECES in blobs:
+                for spans in spans_of_bucket(_pieces(blobs.pop(PIECES)), _columns(blobs.pop(SEEN)), length):
+                    held.append(spans)
+                    size += len(spans[0])
+                    if size >= 2 * AT_ONCE:
+                        yield out()
+                        size = 0
+        if held:
+            yield out()
 
     return run
 
 
-def _apply(length: int, keep: bool) -> Callable:
+def _apply(length: int, keep: str, schema: pa.Schema) -> Callable:
     def run(_: int, blobs: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if TEXTS in blobs:
-            spans = _columns(blobs[SPANS]) if SPANS in blobs else [np.zeros(0, np.int64)] * 3
+            spans = _columns(blobs[SPANS]) if SPANS in blobs else [np.zeros(0, np.int64)] * 4
             order = np.argsort(spans[0], kind="stable")
-            document, start, strings = (c[order] for c in spans)
-            for blob in blobs[TEXTS]:
+            document, start, strings, proof = (c[order] for c in spans)
+            texts_of = _texts_of(blobs[TEXTS])
+            end, repeated = start + strings + length - 1, _repeated_ids(texts_of)
+            for packed, blob in zip(blobs[TEXTS], texts_of):
                 ids, sizes, text = unpack_texts(blob)
                 offset = (np.cumsum(sizes) - sizes).tolist()
                 low, high = np.searchsorted(document, ids), np.searchsorted(document, ids, side="right")
-                rows = []
+                rows, kept = [], []
                 for i, (a, b, at, size) in enumerate(zip(low.tolist(), high.tolist(), offset, sizes.tolist())):
                     own, removed, cuts = text[at : at + size], 0, 0
                     if b > a:
+                        name = int(ids[i])
+                        fits = np.fromiter((digest(own[s:e]) == p for s, e, p in zip(start[a:b].tolist(), end[a:b].tolist(), proof[a:b].tolist())), bool, b - a)
+                        if not fits.all() and name not in repeated:
+                            raise ValueError(f"a span of document {name} has other bytes than the merge saw")
                         depth = np.zeros(size + 1, np.int64)
-                        inside = start[a:b] + strings[a:b] + length - 1 <= size  # a repeated id with another text
-                        np.add.at(depth, start[a:b][inside], 1)
-                        np.add.at(depth, (start[a:b] + strings[a:b] + length - 1)[inside], -1)
+                        np.add.at(depth, start[a:b][fits], 1)
+                        np.add.at(depth, end[a:b][fits], -1)
                         gone = np.cumsum(depth)[:size] > 0
                         removed = int(gone.sum())
                         cuts = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if size else 0))
                         own = np.frombuffer(own, np.uint8)[~gone].tobytes()
-                    rows.append((int(ids[i]), size, removed, cuts, hashlib.sha256(own).hexdigest(), own if keep else None))
-                columns = list(zip(*rows))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 1000], k) for c, k in zip(columns, kinds)][: 6 if keep else 5], names[: 6 if keep else 5])
+                    if keep == "text":
+                        kept.append(own.decode(errors="ignore"))
+                    else:
+                        rows.append((int(ids[i]), size, removed, cuts, hashlib.sha256(own).hexdigest(), *([own] if keep else [])))
+                if keep == "text":
+                    (size,) = struct.unpack_from("<I", packed)
+                    columns = list(pa.ipc.open_stream(packed[4 : 4 + size]).read_all().columns) if size else []
+                    columns.insert(schema.get_field_index(TEXT), pa.chunked_array([pa.array(kept, pa.string())]))
+                    yield from pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema).to_batches(500)
+                else:
+                    for at in range(0, len(rows), 500):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 500]), schema)], schema=schema)
 
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Return id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with keep, kept binary (what remains) of every row.
+#: What the last step returns: digests, and the bytes that remain if they are asked for. The text's column in a row of documents.
+DIGESTS = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+TEXT = "__text"
 
-    Null texts are empty; texts below `length` bytes lose nothing. Rows with null
-    ids lose nothing and take nothing from others. Rows that repeat an id take
-    nothing from each other; if their texts differ, spans found for either that
-    fit inside are removed from both. An empty table gives no rows; other columns
-    are dropped.
+
+def _repeated(rows: DataFrame, length: int, keep: str) -> DataFrame:
+    """A row for each row (id, text, further columns) with an id: digests (keep ""), digests and bytes, or the columns after the id with the text that remains.
+
+    For the last, the text stands where a further column TEXT does.
     """
-    if not 3 * K <= length <= K + RUN - 1:
-        raise ValueError(f"length must be from {3 * K} to {K + RUN - 1}")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << min(18, max(4, (total // BUCKET_BYTES).bit_length()))
-    named = rows.where("id is not null")
+    if length <= K:
+        raise ValueError(f"length must be over {K}")
+    docs = rows.select("id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << min(30, max(4, (total // BUCKET_BYTES).bit_length()))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
-    found = cut(dealt(named.mapInArrow(frugal(_find_runs(length, buckets)), ROWS)).mapInArrow(frugal(_match(buckets)), ROWS))
-    texts = named.mapInArrow(frugal(_pack_documents(buckets)), ROWS)
+    found = cut(dealt(docs.mapInArrow(frugal(_find_runs(length, buckets)), ROWS)).mapInArrow(frugal(_match(buckets)), ROWS))
+    others = [c for c in rows.columns if c not in ("id", "text", TEXT)]
+    texts = rows.select("id", "text", *others).mapInArrow(frugal(_pack_documents(buckets)), ROWS)
     # Both cogroups deal the texts alike, so that they are shuffled once.
     wanted = found.where(F.col("kind") == WANTED)
     pieces = texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_cogrouped(_cut_out(length), ROW_SCHEMA), ROWS)
     merged = dealt(pieces.unionByName(found.where(F.col("kind") == SEEN))).mapInArrow(frugal(_merge_bucket(length, buckets)), ROWS)
     spans = merged.unionByName(found.where(F.col("kind") == SPANS))
-    schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep
-    fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep
-    done = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cogrouped(_apply(length, keep), pa.schema(fields)), schema)
-    size = F.octet_length("text").cast("bigint")
-    nameless = rows.where("id is null").select("id", size.alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * keep)
+    if keep == "text":
+        kind = rows.drop("id", "text").withColumn(TEXT, F.col(TEXT).cast("string")).schema
+    else:
+        kind = from_arrow_schema(pa.schema([*DIGESTS, ("kept", pa.binary())] if keep else DIGESTS))
+    schema = to_arrow_schema(kind)
+    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cogrouped(_apply(length, keep, schema), schema), kind)
+
+
+def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Return id_col (as bigint: ids must be numbers), n_bytes, n_removed, n_spans, kept_sha256 and, with keep, kept binary (what remains) of every row.
+
+    Null texts are empty; texts below `length` bytes lose nothing. Rows with null
+    ids lose nothing and take nothing from others. Rows that repeat an id take
+    nothing from each other; if their texts differ, spans found for either go
+    from both where the bytes there are the same. An empty table gives no rows;
+    other columns are dropped. `length` is 17 or more; 50 is what it is made for.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), _bytes(text_col).alias("text"))
+    done = _repeated(rows, length, "bytes" if keep else "")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size, none = F.octet_length(text).cast("bigint"), F.lit(0).cast("bigint")
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *[text.cast("binary").alias("kept")] * keep)
     return done.unionByName(nameless).withColumnRenamed("id", id_col)
 
 
+def _bytes(text_col: str) -> F.Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with the text that remains; characters of which a byte went are dropped whole.
 
-    Every row stays, if with an empty text. Rows that repeat an id keep their own
-    texts and take the other columns of one of them.
+    Every row stays, with its own columns, if with an empty text (a null text
+    reads as empty). Rows with null ids stay as they are. The columns travel with
+    the texts, so nothing is joined.
     """
-    kept = repeated_bytes(docs, length, id_col, text_col, keep=True).select(F.col(id_col).alias("__id"), "kept")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode(errors="ignore") for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__id", "__text"])
-
-    texts = kept.where("__id is not null").mapInArrow(decode, "__id bigint, __text string")
-    named = docs.where(F.col(id_col).isNotNull())
-    others = named.drop(text_col).dropDuplicates([id_col])
-    joined = texts.join(others, texts["__id"] == others[id_col]).withColumnRenamed("__text", text_col)
-    return joined.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    names = [TEXT if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
+    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), _bytes(text_col).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    kept = _repeated(whole.where("id is not null"), length, "text").toDF(*docs.columns)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

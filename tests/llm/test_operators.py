@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -16,7 +17,7 @@ import xxhash
 from hard_table import PASSAGE, TEXTS, sentence
 from pyspark.sql import functions as F
 
-from ruleweave.llm import bwt_dedup, chat, decontam, langid, lattice, licenses, sharding, simhash, sp_codec, token_counts
+from ruleweave.llm import bwt_dedup, chat, common, decontam, langid, lattice, licenses, sharding, simhash, sp_codec, token_counts
 from ruleweave.llm.components import connected
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,6 +65,21 @@ def test_codec_and_counter_on_random_texts(library):
         assert codec.decode(ids) == library.decode(ids)
 
 
+def test_texts_without_spaces_are_split_and_not_kept(library, monkeypatch):
+    model = open(MODEL, "rb").read()
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("漢字仮名交じり文の例abcXYZ0189+/=é😀") for _ in range(n)) for n in (65, 500, 9_000, 30_000)] + ["x" * 20_000, "A1b2" * 5_000]
+    for long in (50, 4096):
+        monkeypatch.setattr(token_counts, "LONG", long)
+        counter = token_counts.Counter(model, "model")
+        assert counter.count(texts) == [len(library.encode(t)) for t in texts]
+        assert any(len(counter.pieces_of(t)) > 1 for t in texts) and all(len(k) <= token_counts.WIDEST for k in counter.known)
+    codec = sp_codec.Codec(model)
+    for t in texts:
+        assert codec.encode(t) == library.encode(t)
+    assert all(len(k) <= 64 for k in [*codec.words, *codec.segments])
+
+
 def test_both_agendas_agree():
     codec = sp_codec.Codec(open(MODEL, "rb").read(), check=False)
     for seed in range(60):
@@ -136,6 +152,65 @@ def test_language_learns_and_labels_switches(spark):
     assert labels[:half].count("en") > 0.85 * half and labels[half:].count("fr") > 0.85 * (len(labels) - half)
 
 
+def plain_prediction(field, text):
+    """(language, score) by forward-backward over single words in plain Python, every word scored by itself."""
+    words, at = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            at += c
+        elif at:
+            words, at = [*words, at], ""
+    if not words or not field.labels:
+        return "und", 0.0
+    n = len(field.labels)
+    x = [np.exp(e - e.max()) for e in (field.emissions([w])[0].astype(float) for w in words)]
+    move = np.exp(field.move.astype(float))
+    forward, backward = [], [np.ones(n)]
+    f = np.ones(n) / n
+    for e in x:
+        f = (f @ move) * e
+        f = f / f.sum()
+        forward.append(f)
+    for e in x[:0:-1]:
+        b = move @ (e * backward[0])
+        backward.insert(0, b / b.sum())
+    marginal = [f * b / (f * b).sum() for f, b in zip(forward, backward)]
+    mean = np.mean(marginal, axis=0)
+    return field.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_language_predictions_match_a_plain_implementation(spark, docs):
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    field = langid.train(known)
+    rows = [(300 + k, t) for k, (i, t) in enumerate(TEXTS) if i != 10] + [(100 + i, r["text"]) for i, r in enumerate(known.orderBy("doc_id").limit(60).collect())]
+    rows += [(200, "½ ² ① Ⅷ 12_3"), (201, "½x²"), (202, "été " * 300), (203, "x" * 200 + " " + "ab" * 70)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), field).collect()}
+    for i, t in rows:
+        lang, score = plain_prediction(field, t)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4, (i, got[i], lang, score)
+    assert got[200] == ("und", 0.0) and got[201][0] != "und"
+
+
+def test_language_training_draws_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Field, "fit", lambda self, sequences: seen.extend(w for ws, _ in sequences for w in ws))
+    words = ["".join("abcdefghij"[int(c)] for c in str(100_000 + k)) for k in range(3_000)]
+    texts = [(1, " ".join(words), "aa"), (2, "only this", "bb")] + [(k, "x y", f"l{k}") for k in range(3, 40)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").where(~langid.held_out("doc_id"))
+    field = langid.train(df, most=1_000_000)
+    assert set(field.labels) == {r["lang"] for r in df.select("lang").distinct().collect()}
+    if df.where("doc_id = 1").count():
+        assert len(set(seen) & set(words)) > 2_950  # but words cut by the end of a passage
+    assert len(langid.train(df, most=4).labels) == df.select("lang").distinct().count()
+
+
+def test_language_stage_keeps_columns_of_any_name(spark):
+    rows = [(1, "the house of the man", 7.0, "mine", "a"), (2, "123", 8.0, "own", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score double, lang_pred string, `odd.name` string")
+    field = langid.train(spark.createDataFrame([(k, "the house of the man", "en") for k in range(20)] + [(k, "das haus des mannes", "de") for k in range(20, 40)], "doc_id bigint, text string, lang string"))
+    assert [tuple(r) for r in langid.accepted(df, field).collect()] == rows[:1]
+
+
 def test_language_on_the_hard_table(docs, nothing):
     field = langid.train(docs)
     got = langid.predict(docs, field).collect()
@@ -232,18 +307,86 @@ def test_repeats_of_low_complexity_and_edges(spark):
     assert multiset(bwt_dedup.repeated_bytes(df).collect()) == brute_repeats(texts)
 
 
-@pytest.mark.parametrize("shard_bytes", [64, 500, 1 << 20])
-def test_merged_transforms_give_repeated_intervals(shard_bytes):
-    rng = random.Random(shard_bytes)
-    base = ["".join(rng.choice("ab c\nde") for _ in range(90)) for _ in range(4)]
-    parts = sorted({rng.choice(base)[(i := rng.randint(0, 30)) : i + rng.randint(50, 60)].encode() for _ in range(50)})
-    ids = np.array([rng.randint(0, 50) for _ in parts])
-    first, least = bwt_dedup.least_documents(parts, ids, 50, shard_bytes)
+def least_by_string(parts, ids, length):
     smallest = {}
     for p, d in zip(parts, ids):
-        for k in range(len(p) - 49):
-            smallest[p[k : k + 50]] = min(d, smallest.get(p[k : k + 50], d))
-    assert all(least[a + k] == smallest[p[k : k + 50]] for p, a in zip(parts, first) for k in range(len(p) - 49))
+        for k in range(len(p) - length + 1):
+            smallest[p[k : k + length]] = min(d, smallest.get(p[k : k + length], d))
+    return smallest
+
+
+@pytest.mark.parametrize(("shards", "widest", "length"), [(1, 63, 50), (2, 63, 50), (4, 7, 50), (4, 1, 50), (3, 63, 33), (4, 63, 80)])
+def test_merged_transforms_give_repeated_intervals(shards, widest, length):
+    rng = random.Random(shards + widest)
+    base = ["".join(rng.choice("ab c\nde") for _ in range(140)) for _ in range(4)]
+    parts = [rng.choice(base)[(i := rng.randint(0, 30)) : i + rng.randint(length, length + 10)].encode() for _ in range(80)]
+    ids = np.array([rng.randint(0, 50) for _ in parts])
+    seen = {}
+    first, least = bwt_dedup.least_documents(parts, ids, length, ids % shards, widest, seen)
+    smallest = least_by_string(parts, ids, length)
+    assert all(least[a + k] == smallest[p[k : k + length]] for p, a in zip(parts, first) for k in range(len(p) - length + 1))
+    assert seen["shards"] == shards
+
+
+def test_merged_order_and_common_prefixes():
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 30))).encode() for _ in range(30)]
+    n, depth = sum(map(len, parts)), 12
+    text = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) - 96
+    ends = np.cumsum([len(p) for p in parts])
+    after, back = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after[ends - 1], back[ends - np.array([len(p) for p in parts])] = ends - np.array([len(p) for p in parts]), ends - 1
+    rotations = [(p[i:] + p[:i])[:depth] for p in parts for i in range(len(p))]
+    owner = np.repeat(np.arange(len(parts)) % 3, [len(p) for p in parts])
+    shards = [bwt_dedup.transform({1: text.astype(np.uint16)}, {1: back}, [1] * depth, np.nonzero(owner == k)[0].astype(np.int32)) for k in range(3)]
+    order, common = bwt_dedup.merge(shards, [1] * depth)
+    ordered = [rotations[i] for i in order]
+    assert ordered == sorted(rotations) and sorted(order.tolist()) == list(range(n))
+    shared = [next((k for k in range(depth) if a[k] != b[k]), depth) for a, b in zip(ordered, ordered[1:])]
+    assert common[1:].tolist() == shared
+
+
+def test_most_spans_come_from_merged_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "cast(coalesce(text, '') as binary)").orderBy("doc_id").toArrow()
+    found = [r for b in bwt_dedup._find_runs(50, 1)(docs.to_batches()) for r in zip(*(c.to_pylist() for c in b.columns))]
+    at_once = sum(len(bwt_dedup.unpack(blob)[0]) for _, kind, blob in found if kind == bwt_dedup.SPANS)
+    batch = bwt_dedup._rows([r for r in found if r[1] == bwt_dedup.SEEN])
+    rows = [r for b in bwt_dedup._match(1)([batch]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    blobs = {k: [blob for _, kind, blob in rows if kind == k] for k in (bwt_dedup.SEEN, bwt_dedup.WANTED)}
+    packed = [blob for b in bwt_dedup._pack_documents(1)(docs.to_batches()) for blob in b.column(2).to_pylist()]
+    cut = [r for b in bwt_dedup._cut_out(50)(0, {bwt_dedup.TEXTS: packed, bwt_dedup.WANTED: blobs[bwt_dedup.WANTED]}) for r in b.column(2).to_pylist()]
+    seen = {}
+    merged = sum(len(s[0]) for s in bwt_dedup.spans_of_bucket(bwt_dedup._pieces(cut), bwt_dedup._columns(blobs[bwt_dedup.SEEN]), 50, seen))
+    assert merged > 10 * at_once and seen["shards"] == bwt_dedup.SHARDS and seen["merged"] > 10, (merged, at_once, seen)
+
+
+def test_common_fragments_go_once_a_task(spark):
+    texts = [(i, f"{sentence(5, 40)} {sentence(i, 30)}") for i in range(200)]
+    batch = spark.createDataFrame(texts, "doc_id bigint, text string").selectExpr("doc_id", "cast(text as binary)").toArrow().to_batches()
+    kinds = Counter()
+    for b in bwt_dedup._find_runs(50, 1)(batch):
+        for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            kinds[kind] += len(bwt_dedup.unpack(blob)[0])
+    assert kinds[bwt_dedup.SPANS] > 1500
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert multiset(bwt_dedup.repeated_bytes(df).collect()) == brute_repeats(texts)
+
+
+@pytest.mark.parametrize("length", [20, 33, 77, 150])
+def test_repeats_of_other_lengths(spark, length):
+    texts = [(i, f"{sentence(i % 5, 40)} {sentence(i % 7, 30)} {sentence(i, 9)}") for i in range(40)] + [(12, sentence(3, 50)), (3, sentence(1, 60))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert multiset(bwt_dedup.repeated_bytes(df, length).collect()) == brute_repeats(texts, length)
+
+
+def test_repeats_keep_own_columns(spark):
+    rows = [(1, PASSAGE, "A"), (2, f"{PASSAGE} x", "B"), (2, "other text", "C"), (2, "other text", "D"), (None, PASSAGE, "E")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, src string")
+    df = df.withColumns({"when": F.lit("2024-05-06 07:08:09").cast("timestamp"), "odd.name": F.array(F.struct(F.lit(1).alias("a"))), "id": F.lit(1.5).cast("decimal(9,2)"), "m": F.create_map(F.lit("k"), F.lit(b"v"))})
+    got = bwt_dedup.without_repeats(df)
+    assert got.dtypes == df.dtypes and sorted(str(r[3:]) for r in got.collect()) == sorted(str(r[3:]) for r in df.collect())
+    kept = {r["src"]: (r["doc_id"], r["text"]) for r in got.collect()}
+    assert kept == {"A": (1, PASSAGE), "B": (2, " x"), "C": (2, "other text"), "D": (2, "other text"), "E": (None, PASSAGE)}
 
 
 # 5
@@ -364,6 +507,19 @@ def test_simhash_on_the_hard_table(docs, nothing):
     assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 1").count() == 1
 
 
+def test_simhash_keeps_the_last_copy_of_a_repeated_id(spark):
+    a, b = sentence(1, 60), sentence(2, 80)
+    df = spark.createDataFrame([(1, a, "A"), (5, a, "B"), (5, b, "C"), (7, b, "D"), (7, b, "E")], "doc_id bigint, text string, src string")
+    assert {r["src"] for r in simhash.one_of_each(df).collect()} == {"A", "C"}
+
+
+def test_spread_join_of_hot_keys(spark):
+    left = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id % 50) as k", "id")
+    right = spark.range(60).selectExpr("id as k", "id * 2 as v")
+    got = common.spread_join(left, right, "k", limit=100)
+    assert sorted((r["k"], r["id"], r["v"]) for r in got.collect()) == sorted((r["k"], r["id"], 2 * r["k"]) for r in left.collect())
+
+
 def near_values(n, seed):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 1 << 63, 12, dtype=np.int64)
@@ -493,6 +649,45 @@ def test_licenses_that_share_a_window(spark):
     assert {r["doc_id"]: r["licenses"] for r in got} == {i: ",".join(sorted(order)) for i, (order, _) in enumerate(cases)}
 
 
+def brute_licenses(text, templates):
+    """Licences of which some window of their size class holds 80 % of the distinct shingles."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, found = cut(text), set()
+    for name, template in templates.items():
+        t = cut(template)
+        m, size = min(5, len(t)), max(8, 1 << (math.ceil(len(t) * 1.25) - 1).bit_length())
+        whole = {tuple(t[k : k + m]) for k in range(len(t) - m + 1)}
+        for k in range(-(-len(words) // size)):
+            held = {tuple(words[p : p + m]) for p in range(k * size, min((k + 2) * size, len(words) - m + 1))}
+            if len(held & whole) / len(whole) >= 0.8:
+                found.add(name)
+    return ",".join(sorted(found))
+
+
+def test_licenses_in_crowded_windows_match_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    templates = {f"t{k}": " ".join(rng.choices(vocabulary, k=rng.randint(5, 28))) for k in range(60)} | {"same": "a a a a a a a a a a a a", "two": "x y"}
+    texts = []
+    for i in range(250):
+        parts = []
+        for name in rng.choices(sorted(templates), k=rng.randint(1, 12)):
+            w = templates[name].split()
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w))] = "changed"
+            parts += w + rng.choices(vocabulary, k=rng.choice([0, 0, 1, 7]))
+        texts.append((i, " ".join(parts)))
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5), spark.createDataFrame(sorted(templates.items()), "license_id string, text string"))
+    assert {r["doc_id"]: r["licenses"] for r in got.collect()} == {i: brute_licenses(t, templates) for i, t in texts}
+
+
+def test_bands_miss_with_the_stated_probability():
+    for size, lengths, least in ((8, [5], 1), (16, [5], 3), (256, [2, 5], 98)):
+        widest = sum(2 * size - m + 1 for m in lengths)
+        j = 0.8 * least / (widest + 0.2 * least)
+        assert (1 - j) ** licenses.bands_of(size, lengths, least) <= licenses.MISS < (1 - j) ** (licenses.bands_of(size, lengths, least) - 2)
+
+
 def test_licenses_need_the_whole_text(spark):
     """The opening under other terms is no match, and BSD-3-Clause is not the same as BSD-2-Clause."""
     t, other = licenses.TEMPLATES, sentence(5, 80)
