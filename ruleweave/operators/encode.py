@@ -120,16 +120,22 @@ class Encoder:
         self._need("categorical")
         if not 0 <= bit < self.width:
             raise IndexError(bit)
-        return OOV if bit == self.oov else next(t for t, b in self.vocabulary.items() if b == bit)
+        return self._tokens()[bit]
+
+    def _tokens(self) -> list[str]:
+        """Tokens by bit."""
+        out = [OOV] * self.width
+        for token, bit in self.vocabulary.items():
+            out[bit] = token
+        return out
 
     def table(self, spark: SparkSession) -> DataFrame:
         """encoder_bits: (bit, kind, feature, threshold, token)."""
-        rows = []
-        for bit in range(self.width):
-            if self.kind == "numeric":
-                rows.append((bit, self.kind, *self.bit_origin(bit), None))
-            else:
-                rows.append((bit, self.kind, bit, None, self.vocab_token(bit) if self.kind == "categorical" else None))
+        if self.kind == "numeric":
+            rows = [(bit, self.kind, *self.bit_origin(bit), None) for bit in range(self.width)]
+        else:
+            names = self._tokens() if self.kind == "categorical" else [None] * self.width
+            rows = [(bit, self.kind, bit, None, names[bit]) for bit in range(self.width)]
         return spark.createDataFrame(rows, "bit int, kind string, feature int, threshold double, token string")
 
     def encode(self, df: DataFrame, source: str | None = None, into: str = "bits") -> DataFrame:
@@ -165,6 +171,23 @@ class Encoder:
             raise TypeError(f"this encoder is {self.kind}, not {kind}")
 
 
+def bits_of_words(words: Column, n_features: int) -> Column:
+    """`bits` of a custom sample given as literal words of 64 bits (features first, then their negations), as bits.pack makes them.
+
+    A row of another number of words is an error.
+    """
+    n_words = -(-2 * n_features // 64)
+    bit = lambda k: F.call_function("shiftrightunsigned", F.get(words, F.call_function("shiftright", k, F.lit(6))), k.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)).cast("tinyint")
+    found = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), bit)
+    return F.when(F.size(words) == n_words, found).otherwise(F.raise_error(F.lit(f"a sample has not {n_words} words")))
+
+
+def bits_of_rows(rows: Column, n_features: int) -> Column:
+    """`bits` of a custom sample given as one number a feature: what isn't zero is 1. A row of another length is an error."""
+    found = F.transform(rows, lambda v: (v != 0).cast("tinyint"))
+    return F.when(F.size(rows) == n_features, found).otherwise(F.raise_error(F.lit(f"a sample has not {n_features} features")))
+
+
 def _json(value: dict) -> str:
     import json
 

@@ -23,6 +23,17 @@ def literal_frequency(clause_lits: DataFrame) -> DataFrame:
     return clause_lits.groupBy("feature").agg(F.count("*").alias("n"))
 
 
+def first_rules(clause_lits: DataFrame, n: int, longest: int | None = None) -> DataFrame:
+    """The first n rules by output and clause, of those with `longest` literals at most."""
+    found = rules(clause_lits)
+    return (found if longest is None else found.where(F.col("n_literals") <= longest)).orderBy("output", "clause").limit(n)
+
+
+def top_indicators(clause_lits: DataFrame, n: int = 4) -> DataFrame:
+    """(feature, n) of the features that most clauses include unnegated; of equal counts, the smaller feature."""
+    return literal_frequency(clause_lits.where(~F.col("negated"))).orderBy(F.desc("n"), "feature").limit(n)
+
+
 def absorbed(counters: DataFrame, top: int) -> DataFrame:
     """(included, excluded): shares of counters (column state) at the top and at zero; null of an empty table."""
     return counters.agg(F.avg((F.col("state") == top).cast("double")).alias("included"), F.avg((F.col("state") == 0).cast("double")).alias("excluded"))
@@ -63,4 +74,4 @@ def merge_replicas(cells: DataFrame, keys: list[str], value: str = "value", repl
     return cells.groupBy(*keys).agg(mean.alias(value))
 
 
-__all__ = ["absorbed", "clause_sizes", "grow", "literal_frequency", "merge_replicas", "mixed_polarity", "render_rule", "rules"]
+__all__ = ["absorbed", "clause_sizes", "first_rules", "grow", "literal_frequency", "merge_replicas", "mixed_polarity", "render_rule", "rules", "top_indicators"]

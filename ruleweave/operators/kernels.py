@@ -163,6 +163,8 @@ class Bank:
         ta, gone = self.ta[rows].astype(np.int16), self.gone[rows]
         lit = np.broadcast_to(lit, ta.shape)
         draw = generator.random(ta.shape)
+        if c.max_included is not None:  # a full clause strengthens nothing
+            fired = fired & (self.included[rows].sum(axis=1) < c.max_included)
         up = fired[:, None] & lit & active & ~gone & (True if c.boost else draw < (c.s - 1) / c.s)
         if c.max_included is not None:  # promotions stop at the limit, in order of the literals
             promoted = up & (ta == c.half - 1)
@@ -236,7 +238,7 @@ class VotingUnit:
         else:
             fired, own = bank.fires(lit, active), None
         t = c.threshold
-        v = int(np.clip((self.sign * self.weight)[fired & kept].sum(), -t, t))
+        v = int(np.clip((self.sign * self.weight)[fired].sum(), -t, t))  # dropped clauses vote, but don't learn
         weight = c.class_weights[self.unit] if c.class_weights else 1.0
         p = min(1.0, (t - v if target else t + v) / (2 * t) * weight)
         inv, keep = _masks(c, g, width)
@@ -257,7 +259,9 @@ class VotingUnit:
             self.weight[rows] = np.maximum(self.weight[rows] - 1, 1)
         if c.type_iii is not None:
             rows = np.nonzero(kept)[0]
-            bank.type_iii(rows, fired[rows], target, lit if own is None else own[rows], active, p, g)
+            here = lit if own is None else own[rows]
+            # Firing is taken anew, after the feedback above.
+            bank.type_iii(rows, ~(bank.included[rows] & ~here & active).any(axis=1), target, here, active, p, g)
 
 
 class RegressionUnit:

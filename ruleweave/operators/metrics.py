@@ -37,6 +37,11 @@ def feature_errors(reconstructed: DataFrame, samples: DataFrame) -> DataFrame:
     return reconstructed.join(actual, ["row_id", "output"]).groupBy("output").agg(F.avg((F.col("bit") != F.col("actual")).cast("double")).alias("error"))
 
 
+def top_errors(errors: DataFrame, n: int = 10) -> DataFrame:
+    """The n outputs of feature_errors with the largest error; of equal ones, the smaller output."""
+    return errors.orderBy(F.desc("error"), "output").limit(n)
+
+
 def row_errors(reconstructed: DataFrame, samples: DataFrame) -> DataFrame:
     """(row_id, error): share of bits that are wrong."""
     actual = samples.select("row_id", F.posexplode("bits").alias("output", "actual"))

@@ -103,6 +103,27 @@ class RuleModel:
     def absorbed_exclude_fraction(self) -> float:
         return float(np.mean([(b.ta == 0).mean() for b in self._banks()]))
 
+    def set_rules(self, rules: list[tuple[int, int, int, bool]], weights: list[tuple[int, int, int]]) -> "RuleModel":
+        """Take up given rules (output, clause, feature, negated) and weights (output, clause, weight) in place of learned ones.
+
+        Included counters stand at `half`, all others just below. For families of one bank, the rules' output is left out of account.
+        """
+        for bank in self._banks():
+            bank.ta[:] = self.config.half - 1
+        for output, clause, feature, negated in rules:
+            bank = self._bank(output)
+            bank.ta[clause, feature + (bank.ta.shape[1] // 2 if negated else 0)] = self.config.half
+        for bank in self._banks():
+            bank.refresh(slice(None))
+        for output, clause, weight in weights:
+            unit = self.units[output if len(self.units) > 1 else 0]
+            unit.weight[(output, clause) if unit.weight.ndim == 2 else clause] = weight
+        return self
+
+    def input_shape(self) -> tuple[int, int]:
+        """(rows, columns) of a sample: its image, or one row of all features."""
+        return self.config.shape or (1, self.config.n_features)
+
     # Training.
     def _train(self, unit, index: int, bits: np.ndarray, y: float, other: int) -> None:
         raise NotImplementedError
@@ -391,6 +412,18 @@ class CompositeClassifier(RuleModel):
     def n_classes(self) -> int:
         return self.members[0].n_classes()
 
+    @property
+    def units(self) -> list:
+        """The members' units, one member after another."""
+        return [u for m in self.members for u in m.units]
+
+    def n_outputs(self) -> int:
+        return self.n_classes()
+
+    def fit_one(self, bits, y=0) -> None:
+        for m in self.members:
+            m.fit_one(bits, y)
+
     def fit(self, df: DataFrame, **options) -> "CompositeClassifier":
         for m in self.members:
             m.fit(df, **options)

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.functions import bits as B
-from ruleweave.functions import detect
 from ruleweave.functions import text as T
 from ruleweave.operators import evaluate, inspect, logs, metrics
 from ruleweave.operators.encode import Encoder, quantile_thresholds
@@ -56,7 +55,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return Encoder.fit_numeric(orders, COLUMNS, 3).encode(orders).select("row_id", "bits", "label")
 
 
-def _signs(spark: SparkSession, d: str, n: int = 16) -> DataFrame:
+def _signs(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
     """Signs of the first n of the 64 components: the fixed rules, and their SQL, are defined on those features only."""
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform(F.slice("embedding", 1, n), lambda v: (v > 0).cast("tinyint")).alias("bits"), "label")
 
@@ -67,9 +66,9 @@ def _event_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Events of a first part, less some types and users, and the rest."""
+    """Events without some type and user, and those with them."""
     events = _event_tokens(spark, d)
-    early = (F.col("event_id") % 2 == 0) & ~F.array_contains("tokens", "user::u3") & ~F.array_contains("tokens", "type::purchase")
+    early = ~F.array_contains("tokens", "user::u3") & ~F.array_contains("tokens", "type::purchase")
     return events.where(early), events.where(~early)
 
 
@@ -90,13 +89,7 @@ def vocabulary_fit(spark, d):
 
 
 def categorical_encode(spark, d):
-    early, late = _halves(spark, d)
-    encoder = Encoder.fit_categorical(early)
-    return encoder.encode_relational(late, "event_id").groupBy("bit").agg(F.count("*").alias("n"))
-
-
-def categorical_encode_all(spark, d):
-    """All events by the vocabulary of the first part; categorical_encode has the rest only."""
+    """All events by the vocabulary of the first part, so that unknown tokens occur."""
     early, late = _halves(spark, d)
     return Encoder.fit_categorical(early).encode_relational(early.unionByName(late), "event_id").groupBy("bit").agg(F.count("*").alias("n"))
 
@@ -151,11 +144,11 @@ def _conv(spark, d, patches):
 
 
 def convolution_1d(spark, d):
-    return _conv(spark, d, B.patches_1d(F.col("bits"), 16, 3, 2))
+    return _conv(spark, d, B.patches_1d(F.col("bits"), 64, 3, 2))
 
 
 def convolution_2d(spark, d):
-    return _conv(spark, d, B.patches_2d(F.col("bits"), (4, 4), (2, 2), 2))
+    return _conv(spark, d, B.patches_2d(F.col("bits"), (8, 8), (2, 2), 2))
 
 
 def composite_predict(spark, d):
@@ -284,18 +277,6 @@ def argmax_ties(spark, d):
     return evaluate.argmax(rows).join(evaluate.argmax(rows, last_wins=True).withColumnRenamed("prediction", "last"), "row_id").join(by_rank, "row_id")
 
 
-def detection_rules(spark, d):
-    """First rule that made-up events meet, by type and user of the driver's events."""
-    kind, user = F.col("event_type"), F.col("user_id") % 3
-    fields = F.create_map(
-        F.lit("Image"), F.when(kind == "click", "C:\\w\\powershell.exe").when(kind == "view", "c:\\Temp\\Tool.EXE").otherwise("net.exe"),
-        F.lit("ParentImage"), F.when(user == 0, "c:\\o\\EXCEL.EXE").otherwise("explorer.exe"),
-        F.lit("CommandLine"), F.when(user == 1, "net USER x /add -Enc z").otherwise(""),
-    )
-    found = _t(spark, d, "events").select(detect.first_match(fields, F.lit(1), detect.RULES, F.lit("none")).alias("rule"))
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
-
-
 def train_and_predict(spark, d):
     """Train a model on all orders' bits and predict them; SQL can't express it. Exact: a class's packed samples are in one task."""
     samples = _samples(spark, d)
@@ -304,7 +285,7 @@ def train_and_predict(spark, d):
     return model.transform(samples).select("row_id", "label", "prediction")
 
 
-_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, categorical_encode_all, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, detection_rules, train_and_predict]
+_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, train_and_predict]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ENTRIES}
 
 
@@ -340,7 +321,7 @@ def _best(source: str, value: str, last: bool = False, name: str = "best") -> st
 _CLAMPED = "scored as (select row_id, output, greatest(-{t}, least({t}, votes)) as score from voted)"
 _SHARED_RULES = [(0, c, f, n) for o, c, f, n in RULES if o == 0]
 _SIGNS = "signs as (select vec_id as row_id, label, i - 1 as i, cast(embedding[i] > 0 as integer) as b from embeddings, (select unnest(range(1, {n} + 1)) as i))"
-_EVENT = "tok as (select event_id, unnest(['type::' || event_type, 'user::u' || cast(user_id % 7 as varchar)]) as token, event_id % 2 = 0 and user_id % 7 <> 3 and event_type <> 'purchase' as early from events)"
+_EVENT = "tok as (select event_id, unnest(['type::' || event_type, 'user::u' || cast(user_id % 7 as varchar)]) as token, user_id % 7 <> 3 and event_type <> 'purchase' as early from events)"
 _VOCABULARY = """seen as (select distinct token from {source}), unk as (select distinct split_part(token, '::', 1) || '::<UNK>' as token from seen),
  vocab as (select token, row_number() over (order by k, token) - 1 as bit, k from (select token, 0 as k from seen union all select token, 1 from unk where token not in (select token from seen) union all select '<OOV>', 2))"""
 _CONV = "weights as (select * from (values (0, 0, 2), (0, 1, 1), (1, 0, 2), (1, 1, 1)) as x(output, clause, weight))"
@@ -357,7 +338,7 @@ _WORD = "w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(tex
 
 
 def _patched(bit: str, where: str) -> str:
-    return f"""with {_SIGNS.format(n=16)}, bits as (select row_id, p, k as bit, b from signs, (select unnest(range(7)) as p), (select unnest(range(4)) as k) where i = {bit} and {where}),
+    return f"""with {_SIGNS.format(n=64)}, bits as (select row_id, p, k as bit, b from signs, (select unnest(range(31)) as p), (select unnest(range(4)) as k) where i = {bit} and {where}),
  rows_ as (select distinct row_id from signs), {_fired(PATCH_RULES, keys="row_id, p")}, any_ as (select distinct row_id, output, clause from fired), {_voted(_CONV_W, firing="any_")}, {_CLAMPED.format(t=THRESHOLD)}, {_best("scored", "score", last=True)}
  select label, prediction, count(*) as n from best join (select distinct row_id, label from signs) using (row_id) group by label, prediction"""
 
@@ -367,8 +348,7 @@ ORACLE: dict[str, str] = {
     "thermometer_encode": f"with {_BITS} select cast(bit as integer) as bit, cast(sum(b) as bigint) as ones from bits group by bit",
     "literal_packing": f"with {_BITS} select row_id, cast(sum(case when b = 1 then 1 << bit else 1 << (bit + 9) end) as bigint) as word, cast(count(*) as integer) as n_literals from bits group by row_id",
     "vocabulary_fit": f"with {_EVENT}, {_VOCABULARY.format(source='tok')} select token, cast(bit as integer) as bit, case k when 0 then 'token' when 1 then 'unknown' else 'oov' end as kind from vocab",
-    "categorical_encode": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, e as (select distinct event_id, coalesce(v.bit, u.bit, (select bit from vocab where k = 2)) as bit from tok left join vocab v on tok.token = v.token left join vocab u on split_part(tok.token, '::', 1) || '::<UNK>' = u.token where not early) select cast(bit as integer) as bit, count(*) as n from e group by bit",
-    "categorical_encode_all": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, e as (select distinct event_id, coalesce(v.bit, u.bit, (select bit from vocab where k = 2)) as bit from tok left join vocab v on tok.token = v.token left join vocab u on split_part(tok.token, '::', 1) || '::<UNK>' = u.token) select cast(bit as integer) as bit, count(*) as n from e group by bit",
+    "categorical_encode": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, e as (select distinct event_id, coalesce(v.bit, u.bit, (select bit from vocab where k = 2)) as bit from tok left join vocab v on tok.token = v.token left join vocab u on split_part(tok.token, '::', 1) || '::<UNK>' = u.token) select cast(bit as integer) as bit, count(*) as n from e group by bit",
     "vocabulary_extend": f"with {_EVENT}, early as (select token from tok where early), {_VOCABULARY.format(source='early')}, fresh as (select token, row_number() over (order by token) - 1 + (select count(*) from vocab) as bit from (select distinct token from tok where token not in (select token from vocab))) select token, cast(bit as integer) as bit from vocab union all select token, cast(bit as integer) from fresh",
     "clause_firing": f"with {_BITS}, {_fired(RULES)} select output, clause, count(*) as n from fired group by output, clause",
     "clause_blocking": f"with {_BITS}, rules as (select * from (values {_values(RULES)}) as x(output, clause, feature, negated)), j as (select row_id, output, clause, min(case when (b = 0) <> negated then feature + case when negated then 9 else 0 end end) as blocking from bits join rules on bit = feature group by row_id, output, clause) select output, clause, blocking, count(*) as n from j group by output, clause, blocking",
@@ -376,8 +356,8 @@ ORACLE: dict[str, str] = {
     "vanilla_accuracy": f"with {_BITS}, {_fired(RULES)}, {_voted(WEIGHTS)}, {_CLAMPED.format(t=THRESHOLD)}, {_best('scored', 'score')} select round(avg(cast(prediction = label as integer)), 9) as accuracy, count(*) as n from best join rows_ using (row_id)",
     "coalesced_predict": f"with {_BITS}, {_fired(_SHARED_RULES)}, {_voted(SHARED_WEIGHTS, parity=False, shared=True)}, {_best('voted', 'votes')} select prediction, count(*) as n from best group by prediction",
     "coalesced_scores": f"with {_BITS}, {_fired(_SHARED_RULES)}, {_voted(SHARED_WEIGHTS, parity=False, shared=True)}, {_CLAMPED.format(t=2)} select cast(output as integer) as output, cast(score as bigint) as score, count(*) as n from scored group by output, score",
-    "convolution_1d": _patched("p * 2 + k", "k < 3 and p < 7"),
-    "convolution_2d": _patched("(p // 2 * 2 + k // 2) * 4 + p % 2 * 2 + k % 2", "p < 4"),
+    "convolution_1d": _patched("p * 2 + k", "k < 3 and p < 31"),
+    "convolution_2d": _patched("(p // 4 * 2 + k // 2) * 8 + p % 4 * 2 + k % 2", "p < 16"),
     "composite_predict": f"with {_BITS}, {_fired(RULES)}, {_voted(WEIGHTS, name='a')}, {_voted([(1 - o, c, w) for o, c, w in WEIGHTS], name='b')}, scored as (select row_id, a.output, greatest(-2, least(2, a.votes)) + greatest(-3, least(3, b.votes)) as score from a join b using (row_id, output)), {_best('scored', 'score', last=True)} select prediction, count(*) as n from best group by prediction",
     "regression_predict": f"with {_PART} select prediction, count(*) as n from pred group by prediction",
     "regression_errors": f"with {_PART} select round(avg(abs(prediction - target)), 6) as mae, round(sqrt(avg((prediction - target) ** 2)), 6) as rmse from pred join pb using (row_id)",
@@ -398,5 +378,4 @@ ORACLE: dict[str, str] = {
     "absorbed_fractions": "with s as (select cast(least(l_quantity, 40.0) as integer) as state from lineitem) select round(avg(cast(state = 40 as integer)), 9) as included, round(avg(cast(state = 0 as integer)), 9) as excluded from s",
     "clause_polarity": f"with w as (select * from (values {_values(SHARED_WEIGHTS)}) as x(output, clause, weight)), r as (select clause, count(*) as n from (values {_values(RULES)}) as y(output, clause, feature, negated) where output = 0 group by clause) select w.clause, bool_or(weight > 0) and bool_or(weight < 0) as mixed, any_value(n) as n from w join r on w.clause = r.clause group by w.clause",
     "argmax_ties": "with r as (select a as row_id, o as output, (a * (o + 1)) % 3 as score from (select unnest(range(12)) as a), (select unnest(range(4)) as o)), x as (select row_id, output, row_number() over (partition by row_id order by score desc, output) as k, row_number() over (partition by row_id order by score desc, output desc) as l from r) select row_id, cast(max(output) filter (k = 1) as integer) as prediction, cast(max(output) filter (l = 1) as integer) as last, cast(max(output) filter (k = 1) as integer) as ranked from x group by row_id",
-    "detection_rules": "select case when event_type = 'click' and user_id % 3 = 0 then 'office_to_script' when event_type = 'click' and user_id % 3 = 1 then 'encoded_ps' when event_type = 'view' then 'staged_exec' when event_type not in ('click', 'view') and user_id % 3 = 1 then 'create_account' else 'none' end as rule, count(*) as n from events group by 1",
 }

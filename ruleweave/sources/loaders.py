@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.functions.text import basename, time_of_day
+from ruleweave.operators.logs import event_tokens
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -93,25 +94,33 @@ def read_f64_vector(spark: SparkSession, path: str, rows: int) -> DataFrame:
     return _matrix(spark, path, rows, 1, "<f8", "double").withColumnRenamed("v", "target")
 
 
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
     """(file, json, fields map<string,string>) of line-delimited JSON objects below a folder.
 
     Malformed lines are left out, and so are archives' leftovers (`__MACOSX`,
     `._*`) and the map of labels, `tactic_map.json`.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("json"))
     text = text.where(~F.col("file").contains("__MACOSX") & ~basename(F.col("file")).startswith("._") & (basename(F.col("file")) != "tactic_map.json"))
     return text.withColumn("fields", F.from_json("json", "map<string,string>")).where(F.col("fields").isNotNull() & (F.size("fields") > 0))
 
 
-def read_process_events(spark: SparkSession, path: str) -> DataFrame:
+def read_process_events(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
     """Process-creation events (event 1 of the channels that begin so) with their time; a missing field is empty, an absent company `<unknown>`."""
-    field = lambda name: F.coalesce(F.element_at("fields", name), F.lit(""))
-    rows = read_ndjson(spark, path).where(field("Channel").startswith("Microsoft-Windows-Sysmon") & (field("EventID") == "1"))
+    field = lambda name: F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+    rows = read_ndjson(spark, path, files).where(field("Channel").startswith("Microsoft-Windows-Sysmon") & (field("EventID") == "1"))
     rows = rows.withColumn("ts", time_of_day(field("EventTime"))).where("ts is not null")
     company = field("Company")
-    return rows.select("file", "ts", F.lower(basename(field("Image"))).alias("image"), F.lower(basename(field("ParentImage"))).alias("parent"), field("User").alias("user"), field("IntegrityLevel").alias("integrity"), F.when(company.isin("", "-"), "<unknown>").otherwise(company).alias("company"), (field("Signed") == "true").alias("signed"))
+    known = company.contains("Microsoft") | company.contains("Google")
+    return rows.select("file", "ts", basename(field("Image")).alias("image"), basename(field("ParentImage")).alias("parent"), field("User").alias("user"), field("IntegrityLevel").alias("integrity"), F.when(company == "", "<unknown>").otherwise(company).alias("company"), known.alias("signed"))
+
+
+def read_open_events(spark: SparkSession, path: str) -> DataFrame:
+    """(file, event, tokens) of the line-delimited JSON events, of whatever schema, whose channel begins so; event is 0 where it isn't a number."""
+    rows = read_ndjson(spark, path).where(F.coalesce(F.try_element_at("fields", F.lit("Channel")), F.lit("")).startswith("Microsoft-Windows-Sysmon"))
+    event = F.coalesce(F.try_element_at("fields", F.lit("EventID")).try_cast("int"), F.lit(0))
+    return rows.select("file", event.alias("event"), event_tokens(F.col("json"), event).alias("tokens"))
 
 
 def label_files(rows: DataFrame, labels: DataFrame, default: int = 0) -> DataFrame:

@@ -28,9 +28,44 @@ EVENTS = [
     (22, {"QueryName": "ab." * 25, "Image": "wmic.exe"}, ["scripted_query", "long_query"]),
     (23, {"TargetFilename": "c:\\x.EVTX", "Image": "cmd.exe"}, ["log_delete", "scripted_delete"]),
     (26, {"TargetFilename": "c:\\Prefetch\\a.pf"}, ["prefetch_delete"]),
+    (1, {"Image": "C:\\x\\svchost.exe", "ParentImage": "services.exe"}, ["masquerade"]),
+    (1, {"Image": "\\\\srv\\share\\lsass.exe", "ParentImage": "cmd.exe"}, ["hollow_parent", "masquerade", "unc_execution"]),
+    (1, {"Image": "lsass.exe"}, []),
+    (1, {"Image": "rundll32.exe", "CommandLine": "rundll32 c:\\x\\a.dll,Run"}, ["rundll32_abuse"]),
+    (1, {"Image": "rundll32.exe", "CommandLine": "rundll32 c:\\Windows\\System32\\a.dll,Run"}, []),
+    (1, {"Image": "at.exe", "CommandLine": ""}, []),
+    (3, {"Image": "psexec64.exe", "Initiated": "true", "DestinationPort": "+445"}, ["psexec_smb"]),
+    (3, {"Image": "cmd.exe", "Initiated": "true", "DestinationPort": "99999"}, ["ps_nonstandard"]),
+    (3, {"Image": "certutil.exe", "Initiated": "true", "DestinationPort": "80"}, ["lolbin_outbound", "http_lolbin"]),
+    (11, {"Image": "taskmgr.exe", "TargetFilename": "c:\\lsass.DMP"}, ["memory_dump", "manager_dump"]),
+    (11, {"Image": "excel.exe", "TargetFilename": "c:\\x\\a.xll"}, ["scripted_file"]),
+    (12, {"TargetObject": "HKLM\\System\\Services\\x\\ImagePath", "Details": "c:\\Temp\\a"}, ["service_path"]),
+    (13, {"TargetObject": "HKLM\\x\\InprocServer32\\a"}, ["server_key"]),
+    (13, {"TargetObject": "HKLM\\x\\EventLog\\y\\MaxSize"}, ["log_key"]),
     (99, {"Image": "C:\\Temp\\a.exe"}, []),
 ]
 
+TACTICS = [
+    (1, {"ParentImage": "wmiprvse.exe", "Image": "mimikatz.exe"}, detect.LATERAL),
+    (1, {"ParentImage": "wmiprvse.exe", "Image": "conhost.exe"}, None),
+    (1, {"Image": "procdump64.exe", "CommandLine": "-ma LSASS"}, detect.CREDENTIALS),
+    (1, {"Image": "schtasks.exe", "CommandLine": "/create /s host"}, detect.LATERAL),
+    (1, {"Image": "schtasks.exe", "CommandLine": "/create /tn x"}, detect.PERSISTENCE),
+    (1, {"Image": "whoami.exe", "ParentImage": "explorer.exe"}, detect.DISCOVERY),
+    (1, {"Image": "whoami.exe", "ParentImage": "cmd.exe"}, None),
+    (1, {"Image": "cmd.exe", "ParentImage": "excel.exe"}, detect.EXECUTION),
+    (10, {"TargetImage": "x\\LSASS.exe"}, detect.CREDENTIALS),
+    (24, {}, detect.COLLECTION),
+    (25, {}, detect.EVASION),
+    (7, {}, None),
+]
+
+
+def test_tactics(spark):
+    df = spark.createDataFrame([(i, e, f) for i, (e, f, _) in enumerate(TACTICS)], "i int, event int, fields map<string,string>")
+    got = df.select("i", detect.tactic(F.col("fields"), F.col("event")).alias("t"), detect.tactic(F.col("fields"), F.col("event"), F.lit(9)).alias("o")).orderBy("i").collect()
+    assert [r["t"] for r in got] == [t for _, _, t in TACTICS] and [r["o"] for r in got] == [9 if t is None else t for _, _, t in TACTICS]
+
 
 def test_rules(spark):
     df = spark.createDataFrame([(i, e, f) for i, (e, f, _) in enumerate(EVENTS)], "i int, event int, fields map<string,string>")

@@ -4,8 +4,10 @@ import duckdb
 import numpy as np
 import pytest
 
-from ruleweave.plans import models, queries
-from ruleweave.plans.queries import ORACLE, QUERIES
+from ruleweave.plans import event_queries, model_queries, models, queries
+
+QUERIES = queries.QUERIES | event_queries.QUERIES | model_queries.QUERIES
+ORACLE = queries.ORACLE | event_queries.ORACLE | model_queries.ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,5 +53,5 @@ def test_training_takes_all_rows(spark):
 
 def test_all_events_are_encoded(spark, db):
     """Each event has a bit of its type and one of its user."""
-    n = sum(r["n"] for r in QUERIES["categorical_encode_all"](spark, FOLDER).collect())
+    n = sum(r["n"] for r in QUERIES["categorical_encode"](spark, FOLDER).collect())
     assert n == 2 * db.execute("select count(*) from events").fetchone()[0]
