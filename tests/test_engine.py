@@ -104,7 +104,7 @@ def test_event_files(spark, tmp_path):
     (tmp_path / "tactic_map.json").write_text(line + "\n")
     got = loaders.read_process_events(spark, str(tmp_path))
     r = got.collect()
-    assert len(r) == 1 and r[0]["image"] == "Cmd.exe" and r[0]["company"] == "<unknown>" and r[0]["signed"] and r[0]["parent"] == ""
+    assert len(r) == 1 and r[0]["image"] == "Cmd.exe" and r[0]["company"] == "<unknown>" and not r[0]["signed"] and r[0]["parent"] == ""
     labels = spark.createDataFrame([("lat", 1), ("lateral", 2)], "stem string, label int")
     assert loaders.label_files(got, labels).first()["label"] == 2
 
