@@ -112,35 +112,41 @@ def clause_blocking(spark, d):
 
 
 def vanilla_scores(spark, d):
-    """The flagship: encode, fire, vote, clamp, argmax, compare with the label."""
-    samples = _samples(spark, d)
-    scored = evaluate.scores(evaluate.votes(samples, evaluate.fired(samples, _lits(spark)), evaluate.parity_weights(_weights(spark)), 2), THRESHOLD)
-    best = evaluate.argmax(scored).join(scored, "row_id").where("output = prediction").select("row_id", "prediction", "score")
-    return best.join(samples.select("row_id", "label"), "row_id").groupBy("prediction", "score", "label").agg(F.count("*").alias("n"))
+    """The flagship: encode, fire, vote, clamp, argmax, compare with the label; one pass."""
+    scored = evaluate.scored_rows(_samples(spark, d), _lits(spark), evaluate.parity_weights(_weights(spark)), 2, THRESHOLD)
+    return scored.select("prediction", F.get("scores", F.col("prediction")).alias("score"), "label").groupBy("prediction", "score", "label").agg(F.count("*").alias("n"))
 
 
 def vanilla_accuracy(spark, d):
-    samples = _samples(spark, d)
-    found = evaluate.predict_vanilla(samples, _lits(spark), _weights(spark), 2, THRESHOLD).join(samples.select("row_id", "label"), "row_id")
+    found = evaluate.scored_rows(_samples(spark, d), _lits(spark), evaluate.parity_weights(_weights(spark)), 2, THRESHOLD)
     return metrics.accuracy(found).select(F.round("accuracy", 9).alias("accuracy"), "n")
 
 
 def coalesced_predict(spark, d):
-    samples = _samples(spark, d)
-    return evaluate.predict_coalesced(samples, _lits(spark, shared=True), _weights(spark, SHARED_WEIGHTS), 2).groupBy("prediction").agg(F.count("*").alias("n"))
+    return evaluate.predict_coalesced(_samples(spark, d), _lits(spark, shared=True), _weights(spark, SHARED_WEIGHTS), 2).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
 def coalesced_scores(spark, d):
-    samples = _samples(spark, d)
-    voted = evaluate.votes(samples, evaluate.fired(samples, _lits(spark, shared=True)), _weights(spark, SHARED_WEIGHTS), 2)
-    return evaluate.scores(voted, 2).groupBy("output", "score").agg(F.count("*").alias("n"))
+    scored = evaluate.scored_rows(_samples(spark, d), _lits(spark, shared=True), _weights(spark, SHARED_WEIGHTS), 2, 2)
+    return scored.select(F.posexplode("scores").alias("output", "score")).groupBy("output", "score").agg(F.count("*").alias("n"))
+
+
+def joined_scores(spark, d):
+    """The flagship's scores by joins of literals, clauses and weights, as models beyond evaluate.HELD are scored."""
+    samples, lits = _samples(spark, d), _lits(spark)
+    needed = lits.groupBy("output", "clause").agg(F.count("*").alias("needed"))
+    met = evaluate.sample_literals(samples).join(lits, ["feature", "negated"]).groupBy("row_id", "output", "clause").agg(F.count("*").alias("met"))
+    firing = met.join(needed, ["output", "clause"]).where("met = needed").select("row_id", "output", "clause")
+    scored = evaluate.scores(evaluate.votes(samples, firing, evaluate.parity_weights(_weights(spark)), 2), THRESHOLD)
+    best = evaluate.argmax(scored).join(scored, "row_id").where("output = prediction").select("row_id", "prediction", "score")
+    return best.join(samples.select("row_id", "label"), "row_id").groupBy("prediction", "score", "label").agg(F.count("*").alias("n"))
 
 
 def _conv(spark, d, patches):
     samples = _signs(spark, d)
     weights = spark.createDataFrame([(0, 0, 2), (0, 1, 1), (1, 0, 2), (1, 1, 1)], "output int, clause int, weight int")
-    found = evaluate.predict_convolutional(samples, _lits(spark, PATCH_RULES), weights, 2, THRESHOLD, patches)
-    return found.join(samples.select("row_id", "label"), "row_id").groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    found = evaluate.scored_rows(samples, _lits(spark, PATCH_RULES), evaluate.parity_weights(weights), 2, THRESHOLD, True, patches)
+    return found.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 def convolution_1d(spark, d):
@@ -152,10 +158,9 @@ def convolution_2d(spark, d):
 
 
 def composite_predict(spark, d):
-    samples = _samples(spark, d)
-    firing, swapped = evaluate.fired(samples, _lits(spark)), [(1 - o, c, w) for o, c, w in WEIGHTS]
-    members = [evaluate.scores(evaluate.votes(samples, firing, evaluate.parity_weights(_weights(spark, w)), 2), t) for w, t in ((WEIGHTS, 2), (swapped, 3))]
-    return evaluate.predict_composite(members).groupBy("prediction").agg(F.count("*").alias("n"))
+    swapped = [(1 - o, c, w) for o, c, w in WEIGHTS]
+    members = [(_lits(spark), evaluate.parity_weights(_weights(spark, w)), t) for w, t in ((WEIGHTS, 2), (swapped, 3))]
+    return evaluate.composite_rows(_samples(spark, d), members, 2).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
 def _parts(spark, d):
@@ -285,7 +290,7 @@ def train_and_predict(spark, d):
     return model.transform(samples).select("row_id", "label", "prediction")
 
 
-_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, train_and_predict]
+_ENTRIES = [quantile_fit, thermometer_encode, literal_packing, vocabulary_fit, categorical_encode, vocabulary_extend, clause_firing, clause_blocking, vanilla_scores, vanilla_accuracy, coalesced_predict, coalesced_scores, joined_scores, convolution_1d, convolution_2d, composite_predict, regression_predict, regression_errors, reconstruction_errors, reconstruction_by_group, confusion_matrix, class_weights, top_tokens, keep_top_tokens, window_token_counts, window_features, json_tokens, text_functions, rule_rendering, literal_frequency, replica_merge, feature_growth, absorbed_fractions, clause_polarity, argmax_ties, train_and_predict]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ENTRIES}
 
 
@@ -353,6 +358,7 @@ ORACLE: dict[str, str] = {
     "clause_firing": f"with {_BITS}, {_fired(RULES)} select output, clause, count(*) as n from fired group by output, clause",
     "clause_blocking": f"with {_BITS}, rules as (select * from (values {_values(RULES)}) as x(output, clause, feature, negated)), j as (select row_id, output, clause, min(case when (b = 0) <> negated then feature + case when negated then 9 else 0 end end) as blocking from bits join rules on bit = feature group by row_id, output, clause) select output, clause, blocking, count(*) as n from j group by output, clause, blocking",
     "vanilla_scores": f"with {_BITS}, {_fired(RULES)}, {_voted(WEIGHTS)}, {_CLAMPED.format(t=THRESHOLD)}, {_best('scored', 'score')} select prediction, cast(score as bigint) as score, label, count(*) as n from best join rows_ using (row_id) group by all",
+    "joined_scores": f"with {_BITS}, {_fired(RULES)}, {_voted(WEIGHTS)}, {_CLAMPED.format(t=THRESHOLD)}, {_best('scored', 'score')} select prediction, cast(score as bigint) as score, label, count(*) as n from best join rows_ using (row_id) group by all",
     "vanilla_accuracy": f"with {_BITS}, {_fired(RULES)}, {_voted(WEIGHTS)}, {_CLAMPED.format(t=THRESHOLD)}, {_best('scored', 'score')} select round(avg(cast(prediction = label as integer)), 9) as accuracy, count(*) as n from best join rows_ using (row_id)",
     "coalesced_predict": f"with {_BITS}, {_fired(_SHARED_RULES)}, {_voted(SHARED_WEIGHTS, parity=False, shared=True)}, {_best('voted', 'votes')} select prediction, count(*) as n from best group by prediction",
     "coalesced_scores": f"with {_BITS}, {_fired(_SHARED_RULES)}, {_voted(SHARED_WEIGHTS, parity=False, shared=True)}, {_CLAMPED.format(t=2)} select cast(output as integer) as output, cast(score as bigint) as score, count(*) as n from scored group by output, score",

@@ -8,7 +8,7 @@ from ruleweave.functions import bits as B
 from ruleweave.functions import text as T
 from ruleweave.operators import evaluate
 from ruleweave.operators.encode import Encoder
-from ruleweave.plans.models import CoalescedClassifier, VanillaAutoencoder, VanillaClassifier, VanillaRegressor
+from ruleweave.plans.models import CoalescedClassifier, ConvolutionalClassifier, VanillaAutoencoder, VanillaClassifier, VanillaRegressor
 from ruleweave.sources import artifacts, loaders
 from ruleweave.streaming import online
 
@@ -187,3 +187,23 @@ def test_growing_model(spark):
     m = VanillaClassifier(2, e.n_features(), 4, 5, 3.0, seed=1)
     batch = spark.createDataFrame([(i, ["a::x" if i % 2 else "a::z", "c::q"], i % 2) for i in range(40)], "row_id bigint, tokens array<string>, label int")
     assert online.grow_and_train(batch, e, m) == 3 and m.n_features() == e.n_features()
+
+
+@pytest.mark.parametrize("held", [0, 5_000])
+def test_expressions_and_joins_agree(spark, monkeypatch, held):
+    monkeypatch.setattr(evaluate, "HELD", held)
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(b) for b in rng.integers(0, 2, 6)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>")
+    m = VanillaClassifier(3, 6, 8, 5, 3.0, seed=2).fit_local(np.array([b for _, b in rows]), rng.integers(0, 3, 80).astype(float), epochs=3)
+    x, lits = np.array([b for _, b in rows]), m.clause_lits(spark).drop("state")
+    plain = m.weights(spark).select("output", "clause", F.abs("weight").alias("weight"))
+    got = {r["row_id"]: r["prediction"] for r in evaluate.predict_vanilla(df, lits, plain, 3, 5).collect()}
+    assert got == dict(enumerate(m.predict(x).tolist()))
+    patches = B.patches_1d(F.col("bits"), 6, 3)
+    c = ConvolutionalClassifier(2, 6, 4, 5, 3.0, 3, seed=4).fit_local(x, (x[:, 0] ^ x[:, 1]).astype(float), epochs=2)
+    own = c.weights(spark).select("output", "clause", F.abs("weight").alias("weight"))
+    found = {r["row_id"]: r["prediction"] for r in evaluate.predict_convolutional(df, c.clause_lits(spark).drop("state"), own, 2, 5, patches).collect()}
+    assert found == dict(enumerate(c.predict(x).tolist()))
+    total = {r["row_id"]: r["prediction"] for r in evaluate.predict_regression(df, lits.where("output = 0"), plain.where("output = 0"), 4).collect()}
+    assert len(total) == 80 and all(0 <= v <= 4 for v in total.values())
