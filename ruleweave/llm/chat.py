@@ -174,8 +174,22 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: one message event a row.
+    """A table of finished turns (conv_id, turn, role, text) as the log that a chat service would have of them.
 
-    Repeated rows are messages of their own.
+    An assistant's turn begins empty and is streamed in two deltas, a user's
+    begins as a draft that an edit completes, others are one message. Null texts
+    are empty; repeated rows are messages of their own; conversations and turns
+    that are null stay null.
     """
-    return conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().alias("message"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), (F.col("turn").cast("bigint") * 4).alias("at"), F.monotonically_increasing_id().alias("message"), "role", text.alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    draft, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def event(after: int, kind: str, of: F.Column) -> F.Column:
+        return F.struct((F.col("at") + after).alias("seq"), F.lit(kind).alias("kind"), of.alias("text"))
+
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", draft), event(2, "delta", rest))
+    edited = F.array(event(0, "message", draft), event(1, "edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", streamed).when(F.col("role") == "user", edited).otherwise(F.array(event(0, "message", F.col("text"))))
+    return rows.select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "message", "role", "e.text")
