@@ -81,6 +81,7 @@ class Codec:
             raise ValueError("vocabularies with unused pieces need resegmentation, which is not offered")
         self.number = {self.pieces[i]: i for i in plain}
         self.order = {self.pieces[i]: -self.library.get_score(i) for i in plain}
+        self.names = list(map(str, range(len(self.pieces))))
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if self.library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unknown = self.library.unk_id()
@@ -97,12 +98,16 @@ class Codec:
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.segments = Generations(self._segment, SEGMENT_LIMIT)
         self.words = Generations(self._word, WORD_LIMIT)
-        self.unchecked: list[tuple[str, str]] = []
+        self.unchecked: list[tuple[str, list[int], str]] = []
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a normalised text, by the agenda alone."""
-        ids: list[int] = []
-        for symbol in self._short(list(text)) if len(text) <= SHORT else self._long(list(text)):
+        symbols = self._short(list(text)) if len(text) <= SHORT else self._long(list(text))
+        ids = list(map(self.number.get, symbols))
+        if None not in ids:
+            return ids
+        ids = []
+        for symbol in symbols:
             if symbol in self.number:
                 ids.append(self.number[symbol])
             elif self.byte:
@@ -113,16 +118,16 @@ class Codec:
 
     def _short(self, symbols: list[str]) -> list[str]:
         """The agenda as a list in text order: min() takes the best score and, of equals, the leftmost."""
-        order = self.order
-        agenda = [order.get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        get = self.order.get
+        agenda = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
         while agenda and (best := min(agenda)) != NEVER:
             at = agenda.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            symbols[at] = pair = symbols[at] + symbols.pop(at + 1)
             del agenda[at]
             if at < len(agenda):
-                agenda[at] = order.get(symbols[at] + symbols[at + 1], NEVER)
+                agenda[at] = get(pair + symbols[at + 1], NEVER)
             if at:
-                agenda[at - 1] = order.get(symbols[at - 1] + symbols[at], NEVER)
+                agenda[at - 1] = get(symbols[at - 1] + pair, NEVER)
         return symbols
 
     def _long(self, symbols: list[str | None]) -> list[str]:
@@ -149,17 +154,18 @@ class Codec:
     def _segment(self, segment: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text with its leading space) of a segment."""
         ids = self.agenda(segment)
-        value = (",".join(map(str, ids)), self.decode_part(ids))
+        names = self.names
+        value = (",".join([names[i] for i in ids]), self.decode_part(ids))
         if self.check:
-            self.unchecked.append((segment, value[0]))
+            self.unchecked.append((segment, ids, value[1]))
         return value
 
     def _word(self, word: str) -> tuple[str, str]:
         """The same of a word, from its segments."""
         joined = self.joined
-        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in joined]
-        if not cuts:
+        if joined.issuperset(zip(word, word[1:])):
             return self.segments[word]
+        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in joined]
         parts = [self.segments[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])]
         return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
 
@@ -206,7 +212,9 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        values = list(map(self.words.__getitem__, self.split(text or "")))
+        words = self.split(text or "")
+        own = self.words
+        values = [own[w] for w in words]
         ids = ",".join([v[0] for v in values])
         decoded = "".join([v[1] for v in values])
         if self.prefix and decoded.startswith(" "):
@@ -221,16 +229,18 @@ class Codec:
         """
         lead = self.library.encode("\n")
         for begins in (True, False):
-            pairs = [(s, ids) for s, ids in self.unchecked if (s[0] == SPACE and bool(self.prefix)) is begins]
+            held = [u for u in self.unchecked if (u[0][0] == SPACE and bool(self.prefix)) is begins and u[0] != self.prefix]
             behind = "" if begins or not self.prefix else "\n"
             drop = len(lead) if behind else 0
-            theirs = self.library.encode([s[1:] if begins else behind + s for s, _ in pairs], num_threads=1)
-            for (segment, ids), found in zip(pairs, theirs, strict=True):
-                if ids != ",".join(map(str, found[drop:])) and segment != self.prefix:
+            theirs = self.library.encode([s[1:] if begins else behind + s for s, _, _ in held], num_threads=1)
+            for (segment, ids, _), found in zip(held, theirs, strict=True):
+                if ids != (found[drop:] if drop else found):
                     raise ValueError(f"the agenda and the library differ on {segment!r}: {ids} and {found[drop:]}")
-            for found, text in zip(theirs, self.library.decode(theirs) if theirs else [], strict=True):
-                if text != self.decode(found):
-                    raise ValueError(f"decoding and the library differ on {found}: {self.decode(found)!r} and {text!r}")
+            # Segments are decoded in one call; they are whole characters, so the texts only stand side by side.
+            every = [i for found in theirs for i in found[drop:]]
+            text = "".join([decoded for _, _, decoded in held])
+            if every and self.library.decode(every) != (text[1:] if self.prefix and self.pieces[every[0]].startswith(SPACE) else text):
+                raise ValueError(f"decoding and the library differ on one of {[s for s, _, _ in held][:50]!r}")
         self.unchecked = []
 
 
