@@ -188,7 +188,12 @@ def exact_split(spark, d):
 
 def _written(spark: SparkSession, rows: DataFrame, ending: str) -> str:
     """rows, one string column, as text files in the session's shared folder."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.gettempdir()}"
     path = os.path.join(folder, f"rows-{uuid.uuid4().hex}{ending}")
     rows.write.text(path)
     return path
