@@ -5,7 +5,8 @@ samples but on no other unit, so the packed samples are replicated to the units
 and one task trains each, all epochs in one job. A unit holds the packed samples
 (features / 8 bytes a row) in memory; where that is too much, or for models of
 one shared bank, strategy="data_parallel" streams each partition through a
-replica and merges replicas, epoch by epoch, in memory of one model.
+replica and merges replicas, epoch by epoch, in memory of one model. Small
+classes are trained in lanes (ruleweave.operators.lanes), with the same result.
 
 Prediction broadcasts included literals (their size is the model's, checked
 against BROADCAST_BYTES) and evaluates Arrow batches; ruleweave.operators.evaluate
@@ -20,10 +21,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ruleweave.operators import kernels
+from ruleweave.operators import kernels, lanes
 from ruleweave.operators.kernels import Config, EncoderUnit, RegressionUnit, SharedUnit, VotingUnit, merge
 from ruleweave.plans.ship import ship
 
@@ -33,13 +37,38 @@ BROADCAST_BYTES = 256 << 20
 def packed(df: DataFrame, bits: str, label: str | None, key: str) -> DataFrame:
     """(key, y, x): samples with features packed eight to a byte."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.packbits(np.asarray(v) != 0).tobytes() for v in b["x"]]
-            yield pd.DataFrame({"key": b["key"], "y": b["y"], "x": x})
+            if b.num_rows:
+                x = np.packbits(_matrix(b.column("x")) != 0, axis=1)
+                rows = pa.Array.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), rows], ["key", "y", "x"])
 
     y = F.lit(0.0) if label is None else F.col(label).cast("double")
-    return df.select(F.col(key).cast("bigint").alias("key"), y.alias("y"), F.col(bits).alias("x")).mapInPandas(run, "key bigint, y double, x binary")
+    return df.select(F.col(key).cast("bigint").alias("key"), y.alias("y"), F.col(bits).alias("x")).mapInArrow(run, "key bigint, y double, x binary")
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    """(row, feature) of arrays of one length."""
+    sizes = np.unique(rows.value_lengths().to_numpy(zero_copy_only=False))
+    if rows.null_count or len(sizes) > 1:
+        raise ValueError("every sample needs features, all the same number")
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A column of numbers, or of the rows of a matrix."""
+    if values.ndim == 1:
+        return pa.array(values, kind)
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1), kind.value_type)).cast(kind)
+
+
+def _bytes(rows: pa.Array) -> np.ndarray:
+    """(row, byte) of binary rows of one length."""
+    held = rows.cast(pa.large_binary())
+    ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(held), -1)
 
 
 def _unpack(x: list[bytes], n: int) -> np.ndarray:
@@ -135,12 +164,16 @@ class RuleModel:
     def _relevant(self, index: int, y: np.ndarray, other: np.ndarray) -> np.ndarray:
         return np.ones(len(y), bool)
 
-    def _epochs(self, unit, index: int, x: np.ndarray, y: np.ndarray, epochs: int, first: int) -> None:
+    def _schedule(self, index: int, y: np.ndarray, epochs: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each epoch, the samples that train a unit, in order, and every sample's other output."""
         for epoch in range(first, first + epochs):
             schedule = np.random.default_rng((self.config.seed, 0x5EED, epoch))
             order, other = schedule.permutation(len(y)), self._others(schedule, y)
-            mine = self._relevant(index, y, other)
-            for i in order[mine[order]].tolist():
+            yield order[self._relevant(index, y, other)[order]], other
+
+    def _epochs(self, unit, index: int, x: np.ndarray, y: np.ndarray, epochs: int, first: int) -> None:
+        for order, other in self._schedule(index, y, epochs, first):
+            for i in order.tolist():
                 self._train(unit, index, x[i], y[i], int(other[i]))
 
     def fit_one(self, bits, y=0) -> None:
@@ -176,15 +209,25 @@ class RuleModel:
         spark, n = df.sparkSession, self.config.n_features
         blob, first = spark.sparkContext.broadcast(pickle.dumps(self)), self._seen()
 
-        def train(group: pd.DataFrame) -> pd.DataFrame:
-            model, index = pickle.loads(blob.value), int(group["unit"].iloc[0])
-            group = group.sort_values("key", kind="stable")
-            unit = model.units[index]
-            model._epochs(unit, index, _unpack(group["x"].tolist(), n), group["y"].to_numpy(), epochs, first)
-            return pd.DataFrame({"unit": [index], "state": [pickle.dumps(unit)]})
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, keys, ys, xs = None, [], [], []
+            for b in batches:
+                if b.num_rows:
+                    index = b.column("unit")[0].as_py()
+                    keys.append(b.column("key").to_numpy(zero_copy_only=False))
+                    ys.append(b.column("y").to_numpy(zero_copy_only=False))
+                    xs.append(_bytes(b.column("x")))
+            if index is None:
+                return
+            model, order = pickle.loads(blob.value), np.argsort(np.concatenate(keys), kind="stable")
+            unit, y, x = model.units[index], np.concatenate(ys)[order], np.concatenate(xs)[order]
+            keys, ys, xs, order = [], [], [], None
+            model._epochs(unit, index, np.unpackbits(x, axis=1)[:, :n], y, epochs, first)
+            yield pa.RecordBatch.from_arrays([pa.array([index], pa.int32()), pa.array([pickle.dumps(unit)], pa.binary())], ["unit", "state"])
 
         units = F.explode(F.sequence(F.lit(0), F.lit(len(self.units) - 1)))
-        trained = rows.withColumn("unit", units).repartition(len(self.units), "unit").groupBy("unit").applyInPandas(train, "unit int, state binary").collect()  # one state a unit
+        # A partition for each unit: by hash, several would share one and wait for each other.
+        trained = rows.withColumn("unit", units).repartitionById(len(self.units), F.col("unit")).mapInArrow(train, "unit int, state binary").collect()  # one state a unit
         for r in trained:
             self.units[r["unit"]] = pickle.loads(r["state"])
         self.steps = first + epochs
@@ -246,19 +289,24 @@ class RuleModel:
             raise ValueError("the model is too large to broadcast; score its tables with ruleweave.operators.evaluate")
         ship(df.sparkSession)
         blob = df.sparkSession.sparkContext.broadcast(state)
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        added = StructType.fromDDL(schema)
+        kinds = {f.name: f.type for f in to_arrow_schema(added)}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = pickle.loads(blob.value)
             for b in batches:
-                x = np.stack(b[bits].to_numpy()) if len(b) else np.zeros((0, model.config.n_features))
-                yield b.assign(**make(model, x))
+                if b.num_rows:
+                    columns = dict(zip(b.schema.names, b.columns))
+                    made = make(model, _matrix(columns[bits]))
+                    columns |= {name: _column(made[name], kind) for name, kind in kinds.items()}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        return df.mapInPandas(run, f"{fields}, {schema}")
+        kept = [f for f in df.schema.fields if f.name not in kinds]
+        return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, StructType(kept + added.fields))
 
     def transform(self, df: DataFrame, bits: str = "bits") -> DataFrame:
         """df with prediction int and scores array<bigint>."""
-        return self._over(df, bits, "prediction int, scores array<bigint>", lambda m, x: {"prediction": m.predict(x), "scores": list(m.scores(x))})
+        return self._over(df, bits, "prediction int, scores array<bigint>", lambda m, x: {"prediction": m.predict(x), "scores": m.scores(x)})
 
     def accuracy(self, df: DataFrame, label: str = "label", bits: str = "bits") -> float:
         """Share of rows whose prediction is the label; NaN over none."""
@@ -305,6 +353,14 @@ class _Classes(RuleModel):
     def _train(self, unit, index, bits, y, other) -> None:
         unit.update(bits, int(y) == index)
 
+    def _epochs(self, unit, index, x, y, epochs, first) -> None:
+        if not lanes.fits(unit) or x.shape[1] != self.n_features() or not np.isfinite(y).all():
+            return super()._epochs(unit, index, x, y, epochs, first)
+        state, rows, own = lanes.Lanes(unit), lanes.numbers(x), np.trunc(y) == index
+        for order, _ in self._schedule(index, y, epochs, first):
+            state.train(rows[order], own[order])
+        state.store()
+
     def n_classes(self) -> int:
         return len(self.units)
 
@@ -542,7 +598,7 @@ class _Reconstructs:
 
     def transform(self, df: DataFrame, bits: str = "bits") -> DataFrame:
         """df with reconstruction array<int> and error double (share of bits that are wrong)."""
-        return self._over(df, bits, "reconstruction array<int>, error double", lambda m, x: {"reconstruction": list(m.reconstruct(x).astype(int)), "error": (m.reconstruct(x) != (x != 0)).mean(axis=1)})
+        return self._over(df, bits, "reconstruction array<int>, error double", lambda m, x: {"reconstruction": m.reconstruct(x), "error": (m.reconstruct(x) != (x != 0)).mean(axis=1)})
 
     def reconstruction_accuracy(self, df: DataFrame, bits: str = "bits") -> float:
         found = self.transform(df.select(F.col(bits).alias("bits"))).agg(1 - F.avg("error")).first()[0]
