@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.llm import bwt_dedup, decontam, langid, simhash, sp_codec
-from ruleweave.llm.common import remove, shared_folder, table
+from ruleweave.llm.common import give_back, remove, shared_folder, table
 from ruleweave.llm.queries import MODEL
 
 
@@ -38,12 +39,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(docs, MODEL)
 
 
+def afresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, begun with heaps that hold nothing of the stages before it."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language),
-    ("simhash_near_dedup", near_duplicates),
-    ("suffix_array_dedup", repeats),
-    ("benchmark_decontamination", contamination),
-    ("sentencepiece", tokens),
+    ("language_id", afresh(language)),
+    ("simhash_near_dedup", afresh(near_duplicates)),
+    ("suffix_array_dedup", afresh(repeats)),
+    ("benchmark_decontamination", afresh(contamination)),
+    ("sentencepiece", afresh(tokens)),
 ]
 
 #: Language ID is a trained model; SQL can't express the rows of run().

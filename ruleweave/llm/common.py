@@ -40,6 +40,17 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors collect garbage and return heap they don't use to the system.
+
+    A JVM's heap grows with each stage and stays, while Python workers need their
+    memory beside it. Two tasks for each core reach every executor that is idle; no
+    result depends on it, and a JVM that is told to ignore such calls does.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 2 * cores, 1, 2 * cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back; a lost executor loses none of it."""
     shared_folder(df.sparkSession)

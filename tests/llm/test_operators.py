@@ -718,6 +718,19 @@ def test_queries_with_sql(spark):
         assert multiset(df.select(*names).collect()) == Counter(tuple(r) for r in cursor.fetchall()), name
 
 
+def test_stages_begin_with_heaps_given_back(spark, docs):
+    import corpus_pipeline
+
+    def whole_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+
+    for _, stage in corpus_pipeline.STAGES[2:3] + corpus_pipeline.STAGES[4:]:
+        before = whole_collections()
+        stage(spark, docs.withColumn("n_chars", F.length("text")), "")
+        assert whole_collections() > before
+
+
 def test_pipeline(spark, library):
     import corpus_pipeline
 
